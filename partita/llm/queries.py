@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op9_rank_order_langid
+from .ngram_join import op2_ngram_jaccard_join
 from .pii import op7_pii_weak_supervision
 from .quality_crf import op3_quality_rules
 from .token_hist import op8_length_histogram
@@ -14,7 +15,7 @@ from .token_output import op10_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op3_quality_rules, op7_pii_weak_supervision, op8_length_histogram, op9_rank_order_langid, op10_token_files)
+    ops = (op2_ngram_jaccard_join, op3_quality_rules, op7_pii_weak_supervision, op8_length_histogram, op9_rank_order_langid, op10_token_files)
     return {f.__name__: f for f in ops}
 
 
