@@ -98,8 +98,8 @@ class TokenFile:
         return np.frombuffer(raw, "<u2" if self.width == 2 else "<u4").astype("<u4")
 
 
-def encode_frames(docs: DataFrame, path: str, eos: int | None = 2, width: int = 2) -> DataFrame:
-    """doc_id, n_tokens, raw bytes, checksum and compressed frame of each document; null texts count as empty."""
+def encode_frames(docs: DataFrame, path: str, eos: int | None, width: int, add_range) -> DataFrame:
+    """doc_id, number of ids, raw bytes, checksum, compressed frame and file number of each document; null texts count as empty."""
 
     def run(b: pa.RecordBatch) -> dict:
         enc, tail = encoder(path), b"" if eos is None else struct.pack("<I", eos)
@@ -111,17 +111,24 @@ def encode_frames(docs: DataFrame, path: str, eos: int | None = 2, width: int =
             out["raw"].append(len(raw))
             out["sum"].append(xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF)
             out["frame"].append(frame(ids, width))
-        return out
+        return add_range(b, out)
 
-    return map_rows(only(docs, "doc_id", "text"), run, "doc_id long, n long, raw long, sum long, frame binary")
+    return map_rows(only(docs, "doc_id", "text"), run, "doc_id long, n long, raw long, sum long, frame binary, range int")
+
+
+def doc_id_edges(docs: DataFrame, n_files: int) -> np.ndarray:
+    """Where files begin: quantiles of doc_id from a mergeable sketch of that column alone, so that ranges are about even."""
+    probs = [i / n_files for i in range(1, n_files)]
+    got = docs.where("doc_id is not null").select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", probs, 0.2 / n_files) if probs else []
+    return np.unique(np.array(got, np.float64).astype(np.int64))
 
 
 def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = None, eos: int | None = 2, files: int | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write them to files in ascending doc_id order; returns one row per file.
 
     Documents are encoded and compressed where they are read, and the small frames, not texts, are dealt out by ranges
-    of doc_id. Every task writes one file below a name of its own and renames it, so a task that runs again, after a
-    lost executor, replaces its file whole. Null doc_ids come first; rows with one doc_id follow one another by content.
+    of doc_id. A range's file is written below a name of its own and renamed when whole, so a task that runs again, after
+    a lost executor, replaces it. Null doc_ids come first; rows with one doc_id follow one another by content.
     No rows: no files.
 
     Columns: part, file, n_docs, n_tokens.
@@ -132,32 +139,49 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = Non
 
     width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), (eos or 0) + 1) <= 1 << 16 else 4
     n_files = files or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    frames = encode_frames(docs, path, eos, width)
-    dealt = frames.repartitionByRange(n_files, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "sum", "raw")
+    edges = doc_id_edges(docs, n_files)
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def add_range(b: pa.RecordBatch, out: dict) -> dict:
+        ids = b.column("doc_id")
+        return out | {"range": np.where(ids.is_null().to_numpy(False), 0, np.searchsorted(edges, ids.fill_null(0).to_numpy(), "right")).tolist()}
 
-        part = TaskContext.get().partitionId()
+    frames = encode_frames(docs, path, eos, width, add_range)
+    dealt = frames.repartition(n_files, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "n", "sum", "raw")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = _fs(out_dir)
-        doc_ids, comp, raw, sums, tokens, sink = [], [], [], [], 0, None
-        tmp, name = f"{folder}/.{part:06d}-{uuid.uuid4().hex}", f"tokens-{part:06d}.zst"
-        for b in batches:
-            if b.num_rows and sink is None:
-                fs.create_dir(folder, recursive=True)
-                sink = fs.open_output_stream(tmp)
-            for f in b.column("frame"):
-                comp.append(len(f.as_buffer()))
-                sink.write(f.as_buffer())
-            doc_ids += b.column("doc_id").to_pylist()
-            raw += b.column("raw").to_pylist()
-            sums += b.column("sum").to_pylist()
-            tokens += sum(b.column("n").to_pylist())
-        if sink is not None:
+        part, sink = None, None
+
+        def end() -> pa.RecordBatch:
             sink.write(file_tail(doc_ids, comp, raw, sums, width))
             sink.close()
+            name = f"tokens-{part:06d}.zst"
             fs.move(tmp, f"{folder}/{name}")
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([f"{out_dir}/{name}"]), "n_docs": pa.array([len(comp)], pa.int64()), "n_tokens": pa.array([tokens], pa.int64())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([f"{out_dir}/{name}"]), "n_docs": pa.array([len(comp)], pa.int64()), "n_tokens": pa.array([tokens], pa.int64())})
+
+        for b in batches:
+            ranges = b.column("range").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(ranges)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                if part != ranges[i]:
+                    if sink is not None:
+                        yield end()
+                    part, doc_ids, comp, raw, sums, tokens = int(ranges[i]), [], [], [], [], 0
+                    fs.create_dir(folder, recursive=True)
+                    tmp = f"{folder}/.{part:06d}-{uuid.uuid4().hex}"
+                    sink = fs.open_output_stream(tmp)
+                s = b.slice(i, j - i)
+                for f in s.column("frame"):
+                    comp.append(len(f.as_buffer()))
+                    sink.write(f.as_buffer())
+                doc_ids += s.column("doc_id").to_pylist()
+                raw += s.column("raw").to_pylist()
+                sums += s.column("sum").to_pylist()
+                tokens += sum(s.column("n").to_pylist())
+        if sink is not None:
+            yield end()
 
     return dealt.mapInArrow(write, "part int, file string, n_docs long, n_tokens long")
 
