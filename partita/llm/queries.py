@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op9_rank_order_langid
+from . import line_template
+from .line_template import op5_line_template_dedup
 from .ngram_join import op2_ngram_jaccard_join
 from .pii import op7_pii_weak_supervision
 from .quality_crf import op3_quality_rules
@@ -15,9 +17,9 @@ from .token_output import op10_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op2_ngram_jaccard_join, op3_quality_rules, op7_pii_weak_supervision, op8_length_histogram, op9_rank_order_langid, op10_token_files)
+    ops = (op2_ngram_jaccard_join, op3_quality_rules, op5_line_template_dedup, op7_pii_weak_supervision, op8_length_histogram, op9_rank_order_langid, op10_token_files)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_template_dedup": line_template.ORACLE}
