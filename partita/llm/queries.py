@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op9_rank_order_langid
 from . import line_template
+from .ann_scan import op4_adaptive_scan_ann
 from .line_template import op5_line_template_dedup
 from .ngram_join import op2_ngram_jaccard_join
 from .packing import op6_best_fit_packing
@@ -18,7 +19,7 @@ from .token_output import op10_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op2_ngram_jaccard_join, op3_quality_rules, op5_line_template_dedup, op6_best_fit_packing, op7_pii_weak_supervision, op8_length_histogram, op9_rank_order_langid, op10_token_files)
+    ops = (op2_ngram_jaccard_join, op3_quality_rules, op4_adaptive_scan_ann, op5_line_template_dedup, op6_best_fit_packing, op7_pii_weak_supervision, op8_length_histogram, op9_rank_order_langid, op10_token_files)
     return {f.__name__: f for f in ops}
 
 
