@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, tokenizer_path
-from .common import documents, map_rows, only
+from .common import documents, map_rows, only, written
 
 #: Lengths per block of the two-level running sums.
 BLOCK = 256
@@ -80,4 +80,4 @@ def length_quantile(sums: DataFrame, q: float) -> DataFrame:
 
 def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The histogram with its suffix sums over every whole document; the end id counts."""
-    return suffix_sums(length_histogram(documents(spark, sf_dir), extra=1))
+    return suffix_sums(written(length_histogram(documents(spark, sf_dir), extra=1), "length-histogram"))
