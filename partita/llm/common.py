@@ -87,3 +87,12 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 
 def mix(c: Column, seed: int) -> Column:
     return F.xxhash64(c, F.lit(seed))
+
+
+#: Rows up to which :func:`small` broadcasts a table of ids or short lists.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if its rows, counted first, are few; else it is joined by shuffling."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -14,11 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, only, written
+from .common import discard, documents, only, small, written
 
 LEADING, SIMILARITY, MIN_DOCS = 3, 0.6, 3
-#: Rows up to which a table is broadcast (hashes and short lists of positions); beyond, it is joined by shuffling.
-BROADCAST_ROWS = 500_000
 
 _BLANK = r"[ \t\r\f\x0B]+"
 
@@ -38,16 +36,12 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.withColumn("leaf", F.xxhash64(F.size("tokens"), _masked(F.slice("tokens", 1, LEADING))))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, th and drop (positions, ascending) of every row of ``docs`` that loses lines."""
     lines = _lines(docs)
     leaves = lines.select("leaf", "th").distinct().groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs).select("leaf")
     leaves = written(leaves, "line-leaves")
-    masked = lines.join(_small(leaves), "leaf").select("doc_id", "th", "pos", "leaf", _masked(F.col("tokens")).alias("tokens"))
+    masked = lines.join(small(leaves), "leaf").select("doc_id", "th", "pos", "leaf", _masked(F.col("tokens")).alias("tokens"))
     found = written(masked.select("doc_id", "th", "pos", "leaf", F.xxhash64("tokens").alias("line"), F.transform(F.slice("tokens", F.lit(LEADING + 1), F.size("tokens")), lambda t: F.xxhash64(t)).alias("tail")), "line-found")
     discard(leaves)
 
@@ -76,7 +70,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = S
     Other columns pass through.
     """
     drops = written(recurring_lines(docs, min_docs, similarity), "line-drops").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("drop").alias("_drop"))
-    joined = docs.withColumn("_key", F.xxhash64("text")).join(_small(drops), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_th")), "left")
+    joined = docs.withColumn("_key", F.xxhash64("text")).join(small(drops), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_th")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("_drop", F.array().cast("array<int>")), i))
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(

@@ -169,30 +169,47 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, len(text) - sum(map(text.count, _SPACE)), len(_symbols(text)), dup, repeat
 
 
+COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept")
+
+
+def judge(text: str, model: tuple[np.ndarray, float], min_content: float = MIN_CONTENT) -> tuple:
+    """The values of ``COLUMNS`` for a text."""
+    weights, stay = model
+    n, chars, symbols, dup, repeat = base_counts(text)
+    failed = n < 10 or 100 * repeat > 20 * n
+    x, counts = line_features(text)
+    boiler = viterbi(x @ weights, stay) if len(x) else []
+    share = sum(c for c, bad in zip(counts, boiler) if not bad) / n if n else 0.0
+    return n, chars, symbols, dup, repeat, failed, share, not failed and share >= min_content
+
+
 def quality(docs: DataFrame, model: tuple[np.ndarray, float], min_content: float = MIN_CONTENT) -> DataFrame:
     """Counts, base_failed, content_share and kept for each row of ``docs`` (doc_id, text).
 
     Null and empty texts have no words: all counts are 0, content_share is 0.0, base_failed is true and kept false.
     Repeated rows each give a row; a null doc_id stays null.
     """
-    weights, stay = model
 
     def run(b: pa.RecordBatch) -> dict:
-        texts = [t or "" for t in b.column("text").to_pylist()]
-        out: dict = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept")}
-        for t in texts:
-            n, chars, symbols, dup, repeat = base_counts(t)
-            failed = n < 10 or 100 * repeat > 20 * n
-            x, counts = line_features(t)
-            boiler = viterbi(x @ weights, stay) if len(x) else []
-            share = sum(c for c, bad in zip(counts, boiler) if not bad) / n if n else 0.0
-            for k, v in zip(out, (n, chars, symbols, dup, repeat, failed, share, not failed and share >= min_content)):
-                out[k].append(v)
-        return {"doc_id": b.column("doc_id")} | out
+        rows = [judge(t or "", model, min_content) for t in b.column("text").to_pylist()]
+        return {"doc_id": b.column("doc_id")} | dict(zip(COLUMNS, map(list, zip(*rows))))
 
     return map_rows(only(docs, "doc_id", "text"), run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean")
 
 
+def keep(docs: DataFrame, model: tuple[np.ndarray, float], min_content: float = MIN_CONTENT) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality` would keep, with all their columns."""
+    from .common import text_batches
+
+    text_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([judge(t or "", model, min_content)[-1] for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -35,12 +35,13 @@ BLANK = "▁"
 MEMO_SEGMENTS, MEMO_CHARS = 400_000, 40
 #: Piece r (by rank) has log-probability -log(r + ZIPF), less a constant: the file has merge ranks, not probabilities.
 ZIPF = 10.0
+#: Texts sampled at a time: their arrays should fit a core's cache.
+SUB_BATCH = 48
 _fine = re.compile(r"▁*[^\W\d_²]+|▁*(?:[^\w▁\n]|[_²])+|▁+|\n|\d|\w").findall
 _coarse = re.compile("▁*[^▁]+|▁+").findall
 
 
 _HASH = np.uint64(0x9E3779B97F4A7C15)
-_NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -76,15 +77,16 @@ class Lattices:
         self.longest = max(map(len, pieces))
         self.cut = _fine if all(len(_fine(p)) == 1 for p in pieces) else _coarse
         self.unk = sp.unk_id()
+        # Per length: hashes of all pieces' beginnings of that length, ascending, and the piece that it is (or -1).
         self.by_length = {}
         for n in range(1, self.longest + 1):
-            some = [(p, i, x) for p, (i, x) in self.pieces.items() if len(p) == n]
-            if some:
-                code = np.zeros(len(some), np.uint64)
-                for c in np.array([[ord(x) for x in p] for p, _, _ in some], np.uint64).T:
-                    code = code * _HASH + c + np.uint64(1)
-                order = np.argsort(code)
-                self.by_length[n] = (code[order], np.array([i for _, i, _ in some])[order], np.array([x for *_, x in some])[order])
+            some = {p[:n]: (-1, 0.0) for p in self.pieces if len(p) >= n}
+            some.update((p, x) for p, x in self.pieces.items() if len(p) == n)
+            code = np.zeros(len(some), np.uint64)
+            for c in np.array([list(map(ord, p)) for p in some], np.uint64).T:
+                code = code * _HASH + c + np.uint64(1)
+            order = np.argsort(code)
+            self.by_length[n] = (code[order], np.array([i for i, _ in some.values()])[order], np.array([x for _, x in some.values()])[order])
         self.reset()
 
     def reset(self) -> None:
@@ -117,16 +119,17 @@ class Lattices:
             on = left[at] >= size_now
             at, code = at[on], code[on]
             code = code * _HASH + chars[at + size_now - 1]
-            codes, ids, scores = self.by_length.get(size_now, _NONE)
-            if len(codes):
-                k = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                hit = np.flatnonzero(codes[k] == code)
-                src.append(at[hit])
-                length.append(np.full(len(hit), size_now))
-                piece.append(ids[k[hit]])
-                score.append(scores[k[hit]])
-                if size_now == 1:
-                    single[at[hit]] = True
+            codes, ids, scores = self.by_length[size_now]
+            k = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            on = np.flatnonzero(codes[k] == code)
+            at, code, k = at[on], code[on], k[on]
+            hit = np.flatnonzero(ids[k] >= 0)
+            src.append(at[hit])
+            length.append(np.full(len(hit), size_now))
+            piece.append(ids[k[hit]])
+            score.append(scores[k[hit]])
+            if size_now == 1:
+                single[at[hit]] = True
         alone = np.flatnonzero(~single)
         raw = [chr(int(chars[i]) - 1).encode("utf-8", "surrogatepass") for i in alone.tolist()]
         src, length = np.concatenate([*src, alone]), np.concatenate([*length, np.ones(len(alone), np.int64)])
@@ -361,7 +364,7 @@ def row_keys(ids: list, seed: int) -> np.ndarray:
     return mix64(mix64(x) ^ np.uint64((seed * 0x9E3779B97F4A7C15 + 1) & (2**64 - 1)))
 
 
-def sample_documents(docs: DataFrame, k: int = 3, alpha: float = 1.0, seed: int = 1, model: str | None = None, digest: bool = False) -> DataFrame:
+def sample_documents(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int = 1, model: str | None = None, digest: bool = False) -> DataFrame:
     """k segmentations, sampled without replacement, of each whole text of ``docs`` (doc_id, text).
 
     Columns: doc_id, sample (from 1, by falling perturbed value), n_tokens, log_prob, inclusion, and ids or, with
@@ -375,8 +378,11 @@ def sample_documents(docs: DataFrame, k: int = 3, alpha: float = 1.0, seed: int
         lat = _lattices(path, alpha)
         keys, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
         out: dict = {n: [] for n in ("doc_id", "sample", "n_tokens", "log_prob", "inclusion", *(("ids_crc32", "round_trip") if digest else ("ids",)))}
-        samples, kappas = sample_batch(lat, lat.nodes(texts), row_keys(keys, seed), k)
-        for key, text, found, kappa in zip(keys, texts, samples, kappas.tolist()):
+        nodes, seeds, drawn = lat.nodes(texts), row_keys(keys, seed), []
+        for i in range(0, len(texts), SUB_BATCH):
+            found, kappa = sample_batch(lat, nodes[i : i + SUB_BATCH], seeds[i : i + SUB_BATCH], k)
+            drawn += zip(found, kappa.tolist())
+        for key, text, (found, kappa) in zip(keys, texts, drawn):
             for r, (edges, log_p, _) in enumerate(found, 1):
                 ids = lat.token_ids(edges)
                 row = (key, r, len(ids), log_p, inclusion(log_p, kappa))
@@ -399,5 +405,5 @@ def _lattices(path: str, alpha: float) -> Lattices:
 
 
 def op1_sentencepiece_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three segmentations of every whole document, with their digests."""
+    """Two segmentations of every whole document, with their digests."""
     return sample_documents(documents(spark, sf_dir), digest=True)
