@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
+from pyspark.sql import DataFrame, SparkSession
+
+from . import q_folds, q_stats
+
+_MODULES = (q_folds, q_stats)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["fold_sizes"](spark, sf_dir)
 
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: f for m in _MODULES for n, f in m.QUERIES.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {n: q for m in _MODULES for n, q in m.ORACLE.items()}
