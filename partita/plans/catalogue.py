@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_folds, q_graph, q_stats
+from . import q_assign, q_folds, q_graph, q_stats
 
-_MODULES = (q_folds, q_stats, q_graph)
+_MODULES = (q_folds, q_stats, q_graph, q_assign)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
