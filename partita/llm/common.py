@@ -40,7 +40,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete tables made by :func:`written` that nothing reads any more."""
+    """Delete tables made by :func:`written` that nothing reads any more, and let Spark drop the shuffle files of finished
+    steps: it does so when the driver's garbage is collected, which a large heap may put off until disks are full."""
+    for df in frames:
+        df.sparkSession.sparkContext._jvm.System.gc()
+        break
     for df in frames:
         path = getattr(df, "_partita_path", None)
         if path:

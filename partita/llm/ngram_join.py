@@ -10,9 +10,12 @@ pseudo-random sequence of their own. So passages that many documents share seldo
 Links are found without emitting all pairs of a group:
 
 1. Documents with equal sets are one class, which its smallest doc_id stands for.
-2. Round one pairs each class with one pivot per prefix token and band of sizes, filters, verifies, and takes connected
-   components.
-3. Round two takes what is left, exactly: for each prefix token whose classes are in several components, pairs across
+2. Positions bound the overlap: at the first token that two prefixes share, all tokens before it are in one set only. A
+   pair is made at a token only if its sets could still be similar with that token as their first; a similar pair is
+   made there. Private words come first in the order, so copies edited in different places are mostly told apart here.
+3. Round one pairs each class with one pivot per prefix token and band of sizes (the class that has the token earliest),
+   filters, verifies, and takes connected components.
+4. Round two takes what is left, exactly: for each prefix token whose classes are in several components, pairs across
    components, so that the members of one large component are never paired with each other.
 
 A link between classes of different components would be found in round two, so components are exact.
@@ -28,15 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, map_rows, only, text_batches, written
+from .common import discard, documents, map_rows, only, small, text_batches, written
 from .components import connected_components
 from .shingles import order_codes, shingle_set
 
 ORDERS = 3
 #: A token counts as frequent from this many documents on; this many of the most frequent ones are told to the tasks.
 FREQUENT, MOST_FREQUENT = 24, 1 << 18
-#: Up to so many ids of candidates are broadcast (8 bytes each); beyond, texts are joined by shuffling.
-BROADCAST_IDS = 500_000
 
 
 def prefix_size(n: int, num: int, den: int) -> int:
@@ -67,7 +68,7 @@ def frequent_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             for t in b.column("text").to_pylist():
                 held.append(shingle_set(t, k))
                 total += len(held[-1])
-            if total > 6_000_000:
+            if total > 2_000_000:
                 yield from out()
                 held, total = [], 0
         if total:
@@ -101,6 +102,7 @@ def prefix_table(docs: DataFrame, k: int, num: int, den: int, frequent: tuple[np
             p = prefix_size(len(codes), num, den)
             keys = [_keys(codes, s, *often.value) for s in range(ORDERS)]
             first = [key if len(key) <= p else np.partition(key, p - 1)[:p] for key in keys]
+            first[0] = np.sort(first[0])
             out["n"].append(len(codes))
             out["set_key"].append(xxhash.xxh3_128_digest(codes.tobytes()))
             out["p0"].append(first[0].view(np.int64))
@@ -110,23 +112,26 @@ def prefix_table(docs: DataFrame, k: int, num: int, den: int, frequent: tuple[np
     return map_rows(only(docs, "doc_id", "text"), run, "doc_id long, n long, set_key binary, p0 array<long>, more array<array<int>>")
 
 
-def _sizes_fit(a: str, b: str, num: int, den: int) -> str:
-    return f"{a} * {den} >= {b} * {num} and {b} * {den} >= {a} * {num}"
+def _may_link(num: int, den: int) -> str:
+    """Whether sets of na and nb tokens can reach num / den if their first common token has pa and pb tokens before it."""
+    both = "least(na - pa, nb - pb)"
+    return f"{den} * {both} >= {num} * (na + nb - {both})"
 
 
 def verify(pairs: DataFrame, table: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Of candidate pairs (a, b), those that pass every further order and whose whole sets reach num / den."""
-    more = table.select("doc_id", "more")
+    pairs = written(pairs, "ngram-pairs")
+    ids = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ngram-ids")
+    more = table.select("doc_id", "more").join(small(ids), "doc_id", "left_semi")
     kept = (
         pairs.join(more.withColumnsRenamed({"doc_id": "a", "more": "ma"}), "a")
         .join(more.withColumnsRenamed({"doc_id": "b", "more": "mb"}), "b")
         .where(" and ".join(f"arrays_overlap(ma[{i}], mb[{i}])" for i in range(ORDERS - 1)))
     )
-    kept = written(kept.select("a", "b"), "ngram-candidates")
-    ids = kept.select(F.col("a").alias("doc_id")).unionByName(kept.select(F.col("b").alias("doc_id"))).distinct()
-    ids = written(ids, "ngram-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = only(docs, "doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    kept = written(kept.select("a", "b").distinct(), "ngram-candidates")
+    discard(pairs, ids)
+    ids = written(kept.select(F.col("a").alias("doc_id")).unionByName(kept.select(F.col("b").alias("doc_id"))).distinct(), "ngram-ids")
+    texts = only(docs, "doc_id", "text").join(small(ids), "doc_id", "left_semi")
 
     def codes(b: pa.RecordBatch) -> dict:
         return {"doc_id": b.column("doc_id"), "codes": [shingle_set(t, k).tobytes() for t in b.column("text").to_pylist()]}
@@ -144,7 +149,7 @@ def verify(pairs: DataFrame, table: DataFrame, docs: DataFrame, k: int, num: int
     full = kept.join(sets.withColumnsRenamed({"doc_id": "a", "codes": "ca"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "codes": "cb"}), "b")
     links = written(map_rows(full.select("a", "b", "ca", "cb"), similar, "a long, b long, ok boolean").where("ok").select("a", "b"), "ngram-links")
     discard(kept, ids)
-    return links
+    return links.distinct()
 
 
 def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -158,25 +163,27 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     table = written(prefix_table(docs, k, num, den, frequent_tokens(docs, k)), "ngram-prefixes")
     named = table.where("doc_id is not null and n > 0")
     classes = written(named.groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "ngram-classes")
-    reps = named.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    reps = named.join(small(classes.select(F.col("class_id").alias("doc_id"))), "doc_id", "left_semi")
 
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).alias("band") if num < den else F.col("n").alias("band")
-    spread = reps.select("doc_id", "n", band, F.explode("p0").alias("token"))
+    spread = reps.select("doc_id", F.col("n").cast("int").alias("n"), F.posexplode("p0").alias("pos", "token"))
     shared = spread.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     entries = written(spread.join(shared, "token"), "ngram-entries")
 
-    pivots = entries.groupBy("token", "band").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").select("token", "band", "a")
-    first = entries.join(pivots, ["token", "band"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    banded = entries.select("token", "doc_id", "n", "pos", band)
+    pivots = banded.groupBy("token", "band").agg(F.min(F.struct("pos", "doc_id", "n")).alias("m"), F.count("*").alias("c")).where("c > 1").select("token", "band", F.col("m.doc_id").alias("a"), F.col("m.n").alias("na"), F.col("m.pos").alias("pa"))
+    first = banded.withColumnsRenamed({"n": "nb", "pos": "pb"}).join(pivots, ["token", "band"]).where(f"a <> doc_id and {_may_link(num, den)}")
+    first = first.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
     links = verify(first, table, docs, k, num, den)
 
     one = connected_components(links)
-    placed = entries.join(one, entries.doc_id == one.v, "left").select("token", "doc_id", "n", F.coalesce("label", "doc_id").alias("comp"))
+    placed = entries.join(one, entries.doc_id == one.v, "left").select("token", "doc_id", "n", "pos", F.coalesce("label", "doc_id").alias("comp"))
     tally = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
     main = tally.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("m.comp").alias("main"))
     rest = placed.join(main, "token")
-    x = rest.where("comp <> main").select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ka"))
-    y = rest.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("kb"), (F.col("comp") == F.col("main")).alias("in_main"))
-    cross = x.join(y, "token").where(f"ka <> kb and (in_main or a < b) and {_sizes_fit('na', 'nb', num, den)}")
+    x = rest.where("comp <> main").select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ka"))
+    y = rest.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("kb"), (F.col("comp") == F.col("main")).alias("in_main"))
+    cross = x.join(y, "token").where(f"ka <> kb and (in_main or a < b) and {_may_link(num, den)}")
     second = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = verify(second, table, docs, k, num, den)
     discard(entries)
