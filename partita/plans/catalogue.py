@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_assign, q_folds, q_graph, q_stats
+from . import q_assign, q_folds, q_graph, q_stats, q_terms
 
-_MODULES = (q_folds, q_stats, q_graph, q_assign)
+_MODULES = (q_folds, q_stats, q_graph, q_assign, q_terms)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["fold_sizes"](spark, sf_dir)
+    return queries()["lpi_scaled"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
