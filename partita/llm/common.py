@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -59,8 +62,29 @@ def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | None], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function from a batch to columns; ``schema`` is Spark DDL."""
+_cache: dict = {}
+
+
+def cached(key, make: Callable[[], object]):
+    """A worker's one large cache, kept from task to task while tasks ask for the same key."""
+    if key not in _cache:
+        drop_cache()
+        _cache[key] = make()
+    return _cache[key]
+
+
+def drop_cache() -> None:
+    """Free the cache that an earlier stage left in this worker, which serves all stages in turn."""
+    if _cache:
+        _cache.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc can hand freed memory back on demand
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | None], schema: str, keeps_cache: bool = False) -> DataFrame:
+    """``mapInArrow`` with a function from a batch to columns; ``schema`` is Spark DDL. ``keeps_cache``: the function uses
+    :func:`cached`."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -68,6 +92,8 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | Non
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps_cache:
+            drop_cache()
         for b in batches:
             if b.num_rows:
                 out = fn(b)

@@ -27,12 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, map_rows, only
+from .common import cached, documents, map_rows, only
 from .shingles import mix64
 
 BLANK = "▁"
 #: Segments whose lattices are held at a time, and the longest one held.
-MEMO_SEGMENTS, MEMO_CHARS = 400_000, 40
+MEMO_SEGMENTS, MEMO_CHARS = 550_000, 40
 #: Piece r (by rank) has log-probability -log(r + ZIPF), less a constant: the file has merge ranks, not probabilities.
 ZIPF = 10.0
 #: Texts sampled at a time: their arrays should fit a core's cache.
@@ -91,8 +91,11 @@ class Lattices:
 
     def reset(self) -> None:
         self.starts: dict[str, int] = {}
-        self.n_nodes = self.n_edges = self.n_ids = 0
-        kinds = {"first_edge": np.int32, "cum": np.float32, "prob": np.float64, "target": np.int32, "id_at": np.int32, "id_len": np.uint8, "ids": np.uint32}
+        self.n_nodes = self.n_edges = 0
+        self.raw: list[list[int]] = []  # ids of characters that are no piece; such an edge has -1 - index as its piece
+        # Per node its first edge; per edge the running probability at its node, its own, how many characters it takes (0: all
+        # that are left), and its piece.
+        kinds = {"first_edge": np.int32, "cum": np.float32, "prob": np.float64, "step": np.uint8, "piece": np.int32}
         for name, kind in kinds.items():
             setattr(self, name, np.zeros(1 << 16, kind))
 
@@ -136,7 +139,7 @@ class Lattices:
         piece = np.concatenate([*piece, -1 - np.arange(len(alone))]).astype(np.int64)
         score = np.concatenate([*score, self.byte_score * np.fromiter(map(len, raw), np.float64, len(raw))])
         # Backward sums, from the segments' ends to their starts.
-        order = np.lexsort((src, left[src]))
+        order = np.argsort(left[src] * n + src, kind="stable")
         src, length, piece, score = src[order], length[order], piece[order], score[order]
         beta, weight = np.zeros(n), np.empty(len(src))
         levels = np.searchsorted(left[src], np.arange(1, int(left.max()) + 2))
@@ -149,7 +152,7 @@ class Lattices:
             beta[i[heads]] = top + np.log(total)
             weight[a:b] = w
         prob = np.exp(weight - beta[src])
-        order = np.lexsort((piece, -prob, src))
+        order = np.argsort(src - prob * 0.999, kind="stable")
         src, length, piece, prob = src[order], length[order], piece[order], prob[order]
         heads = np.flatnonzero(np.diff(src, prepend=-1))
         degree = np.diff(heads, append=len(src))
@@ -157,25 +160,15 @@ class Lattices:
         cum = np.cumsum(prob)
         cum -= np.repeat(cum[heads] - prob[heads], degree)
         cum[heads + degree - 1] = 2.0
-        count = np.ones(len(src), np.int64)
-        odd = np.flatnonzero(piece < 0)
-        for e in odd.tolist():
-            count[e] = len(raw[-1 - int(piece[e])])
-        id_at = np.cumsum(count) - count
-        ids = np.empty(int(count.sum()), np.uint32)
-        ids[id_at[piece >= 0]] = piece[piece >= 0]
-        for e in odd.tolist():
-            ids[id_at[e] : id_at[e] + count[e]] = [self.byte_ids.get(b, self.unk) for b in raw[-1 - int(piece[e])]]
-        node0, edge0, id0 = self.n_nodes, self.n_edges, self.n_ids
+        node0, edge0 = self.n_nodes, self.n_edges
         self._put("first_edge", node0, edge0 + heads)
         self._put("cum", edge0, cum)
         self._put("prob", edge0, prob)
-        self._put("target", edge0, np.where(length < left[src], node0 + src + length, -1))
-        self._put("id_at", edge0, id0 + id_at)
-        self._put("id_len", edge0, count)
-        self._put("ids", id0, ids)
+        self._put("step", edge0, np.where(length < left[src], length, 0))
+        self._put("piece", edge0, np.where(piece < 0, piece - len(self.raw), piece))
+        self.raw += [[self.byte_ids.get(b, self.unk) for b in x] for x in raw]
         self.starts.update(zip(segments, (node0 + begin).tolist()))
-        self.n_nodes, self.n_edges, self.n_ids = node0 + n, edge0 + len(src), id0 + len(ids)
+        self.n_nodes, self.n_edges = node0 + n, edge0 + len(src)
 
     def nodes(self, texts: list[str]) -> list[np.ndarray]:
         """The first node of each segment of each text, as SentencePiece reads it: a blank first, blanks for spaces."""
@@ -211,9 +204,9 @@ class Lattices:
                 far, v, x = far[on], v[on], x[on]
             taken.append(e)
             who.append(live)
-            nodes = self.target[e]
-            on = np.flatnonzero(nodes >= 0)
-            live, nodes, keys = live[on], nodes[on], keys[on]
+            ahead = self.step[e]
+            on = np.flatnonzero(ahead)
+            live, nodes, keys = live[on], nodes[on] + ahead[on], keys[on]
         if not taken:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         count = np.zeros(len(taken[0]), np.int64)
@@ -225,16 +218,26 @@ class Lattices:
             edges[start[w] + t] = e
         return edges, count
 
+    def node_of(self, edge: int) -> int:
+        """The node that an edge leaves."""
+        return int(np.searchsorted(self.first_edge[: self.n_nodes], np.int32(edge), "right")) - 1
+
     def token_ids(self, edges: np.ndarray) -> np.ndarray:
-        n = self.id_len[edges].astype(np.int64)
-        at = self.id_at[edges].astype(np.int64)
-        if n.size and n.max() > 1:
-            at = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return self.ids[at]
+        p = self.piece[edges]
+        odd = np.flatnonzero(p < 0)
+        if not len(odd):
+            return p.astype("<u4")
+        at = [0, *(odd + 1).tolist()]
+        parts = [x for i, j, k in zip(at, odd.tolist(), odd.tolist()) for x in (p[i:j], self.raw[-1 - int(p[k])])]
+        return np.concatenate([*parts, p[at[-1] :]]).astype("<u4")
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids' pieces, with their blanks."""
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
     def decode(self, ids: np.ndarray) -> str:
-        """Text of ids: bytes joined, blanks back to spaces, the first one dropped."""
-        text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(BLANK, " ")
+        """Text of ids: blanks back to spaces, the first one dropped."""
+        text = self.joined(ids).decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -287,7 +290,7 @@ def sample_batch(lat: Lattices, texts: list[np.ndarray], keys: np.ndarray, k: in
             at = spot - a
             out = path.barred.get(spot) or [int(e_old[at])]
             s = int(s_old[at])
-            node = int(texts[i][s]) if not at or s_old[at - 1] != s else int(lat.target[e_old[at - 1]])
+            node = lat.node_of(int(e_old[at]))
             lo = hi = int(lat.first_edge[node])
             while lat.cum[hi] < 1.5:
                 hi += 1
@@ -295,7 +298,8 @@ def sample_batch(lat: Lattices, texts: list[np.ndarray], keys: np.ndarray, k: in
             p = np.cumsum(lat.prob[free])
             e = free[min(int(np.searchsorted(p, float(_uniform(own[j : j + 1], 0x10003)[0]) * p[-1])), len(free) - 1)]
             barred[j] = [*out, e] if len(free) > 1 else []
-            nxt = int(lat.target[e])
+            ahead = int(lat.step[e])
+            nxt = node + ahead if ahead else -1
             heads.append((np.append(e_old[:at], e), s_old[: at + 1]))
             first_seg.append(s + (nxt < 0))
             rest.append(texts[i][s + 1 :] if nxt < 0 else np.concatenate([[nxt], texts[i][s + 1 :]]))
@@ -383,25 +387,21 @@ def sample_documents(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int
             found, kappa = sample_batch(lat, nodes[i : i + SUB_BATCH], seeds[i : i + SUB_BATCH], k)
             drawn += zip(found, kappa.tolist())
         for key, text, (found, kappa) in zip(keys, texts, drawn):
+            whole = (BLANK + text.replace(" ", BLANK)).encode("utf-8", "surrogatepass") if digest and text and BLANK not in text else None
             for r, (edges, log_p, _) in enumerate(found, 1):
                 ids = lat.token_ids(edges)
                 row = (key, r, len(ids), log_p, inclusion(log_p, kappa))
-                row += (zlib.crc32(ids.astype("<u4").tobytes()), lat.decode(ids) == text) if digest else (ids.astype(np.int32),)
+                row += (zlib.crc32(ids.tobytes()), lat.joined(ids) == whole if whole else lat.decode(ids) == text) if digest else (ids.astype(np.int32),)
                 for name, v in zip(out, row):
                     out[name].append(v)
         return out
 
     last = "ids_crc32 long, round_trip boolean" if digest else "ids array<int>"
-    return map_rows(only(docs, "doc_id", "text"), run, f"doc_id long, sample int, n_tokens long, log_prob double, inclusion double, {last}")
-
-
-_held: dict[tuple, Lattices] = {}
+    return map_rows(only(docs, "doc_id", "text"), run, f"doc_id long, sample int, n_tokens long, log_prob double, inclusion double, {last}", keeps_cache=True)
 
 
 def _lattices(path: str, alpha: float) -> Lattices:
-    if (path, alpha) not in _held:
-        _held[path, alpha] = Lattices(path, alpha)
-    return _held[path, alpha]
+    return cached(("lattices", path, alpha), lambda: Lattices(path, alpha))
 
 
 def op1_sentencepiece_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
