@@ -67,16 +67,16 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = S
 
     Null texts stay null (0 lines); a text that loses all its lines becomes empty. Lines without a token are never
     dropped. Rows that repeat a doc_id and text lose the same lines; a null doc_id is one more value, the smallest.
-    Other columns pass through.
+    Other columns pass through, but for ones that are themselves called n_lines or n_dropped, which are replaced.
     """
-    drops = written(recurring_lines(docs, min_docs, similarity), "line-drops").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("drop").alias("_drop"))
-    joined = docs.withColumn("_key", F.xxhash64("text")).join(small(drops), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_th")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("_drop", F.array().cast("array<int>")), i))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    drops = written(recurring_lines(docs, min_docs, similarity), "line-drops").select(F.col("doc_id").alias("_lt_doc"), F.col("th").alias("_lt_th"), F.col("drop").alias("_lt_drop"))
+    joined = docs.join(small(drops), F.col("doc_id").eqNullSafe(F.col("_lt_doc")) & (F.xxhash64("text") == F.col("_lt_th")), "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("_lt_drop", F.array().cast("array<int>")), i))
+    text = F.when(F.col("_lt_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
+        *(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
-        F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_dropped"),
+        F.when(F.col("_lt_drop").isNull(), 0).otherwise(F.size("_lt_drop")).cast("long").alias("n_dropped"),
     )
 
 
