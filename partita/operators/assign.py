@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.prefix import running_sums
 from ..functions.rng import uniform
 
-_ALL = Window.partitionBy()
 
 
 def assign_two(df: DataFrame, share: float, eps: float = 0.0, eta: float = 0.0) -> DataFrame:

@@ -15,7 +15,6 @@ from ..functions.prefix import running_sums
 from ..functions.rng import gaussian
 from .folds import target_share
 
-_ALL = Window.partitionBy()
 
 
 def moments(df: DataFrame) -> DataFrame:
