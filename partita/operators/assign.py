@@ -158,3 +158,21 @@ def hierarchy_repair(df: DataFrame, group: str, r: Sequence[float], eps: float)
     kind = g.schema["group_id"].dataType.simpleString()
     new = df.sparkSession.createDataFrame(moved, f"_g {kind}, _f int")
     return df.join(F.broadcast(new), F.col(group) == F.col("_g"), "left").select(*(F.coalesce("_f", "fold").alias("fold") if c == "fold" else F.col(c) for c in df.columns))
+
+
+def swap_pairs(df: DataFrame, gains: DataFrame) -> DataFrame:
+    """obs_id, fold after one round of pairwise exchange between folds 0 and 1, which keeps counts: the i-th best mover of
+    one fold (obs_id, gain) changes places with the i-th best of the other while their joint gain is positive. A local
+    search in place of an exact integer programme; nothing is claimed about optimality."""
+    d = df.select("obs_id", "fold").join(gains, "obs_id").withColumns({"_s": -F.col("gain"), "_one": F.lit(1)})
+    d = running_sums(d, "_s", {"_rank": "_one"}, keys=("fold",), ties=("obs_id",))
+    a, b = d.where("fold = 0").select("_rank", F.col("obs_id").alias("a"), F.col("gain").alias("ga")), d.where("fold = 1").select("_rank", F.col("obs_id").alias("b"), F.col("gain").alias("gb"))
+    pairs = a.join(b, "_rank").where("ga + gb > 0").select(F.explode(F.array("a", "b")).alias("obs_id"), F.lit(1).alias("_swap"))
+    return df.select("obs_id", "fold").join(pairs, "obs_id", "left").select("obs_id", F.when(F.col("_swap").isNotNull(), 1 - F.col("fold")).otherwise(F.col("fold")).cast("int").alias("fold"))
+
+
+def pinned_rows(df: DataFrame, group: str, share: float = 0.9) -> DataFrame:
+    """obs_id, fold of the rows to hold fast: those of groups with at least ``share`` of their mass in one fold."""
+    g = df.groupBy(group, "fold").agg(F.sum("w").alias("m"))
+    top = g.groupBy(group).agg(F.max_by("fold", F.struct("m", -F.col("fold"))).alias("_f"), (F.max("m") / F.sum("m")).alias("_share")).where(F.col("_share") >= share)
+    return df.join(top.select(F.col(group).alias("_g"), "_f"), F.col(group) == F.col("_g")).select("obs_id", F.col("_f").alias("fold"))

@@ -156,3 +156,28 @@ def set_edges(sets: DataFrame, bound: float, key: str | None = None) -> DataFram
     both = pairs.join(left, "src").join(right, ["dst", "item"]).groupBy("src", "dst", "na", "nb").agg(F.count("*").alias("c"))
     hits = both.select("src", "dst", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("val")).where(F.col("val") >= bound)
     return hits.unionByName(hits.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "val"))
+
+
+def two_channel_edges(df: DataFrame, bound: float) -> DataFrame:
+    """src, dst, val of two-entity rows (obs_id, p, l, w): max(p p', 0) x max(l l', 0) x w w' of at least ``bound``."""
+    d = df.select("obs_id", F.concat("p", "l", F.array(F.col("w").cast("double"))).alias("x"))
+    cut = df.select(F.size("p").alias("n")).limit(1).collect()
+    if not cut:
+        return df.sparkSession.createDataFrame([], _EDGE)
+    n = cut[0].n
+
+    def pick(p, q, a, b):
+        v = np.maximum(a[:, :n] @ b[:, :n].T, 0) * np.maximum(a[:, n:-1] @ b[:, n:-1].T, 0) * np.outer(a[:, -1], b[:, -1])
+        i, j = np.nonzero((v >= bound) & (p["obs_id"].to_numpy()[:, None] != q["obs_id"].to_numpy()))
+        return i, j, v[i, j]
+
+    return _join(d, d, pick, _EDGE)
+
+
+def augment_by_target(edges: DataFrame, targets: DataFrame, nu: float, justification: str) -> DataFrame:
+    """Edges with nu exp(-(y - y')**2) added; targets (obs_id, y) leak into the affinity, so a justification is required."""
+    if not justification:
+        raise ValueError("adding targets to the affinity needs a justification")
+    t = targets.select("obs_id", "y")
+    j = edges.join(t.withColumnsRenamed({"obs_id": "src", "y": "ys"}), "src").join(t.withColumnsRenamed({"obs_id": "dst", "y": "yd"}), "dst")
+    return j.select("src", "dst", (F.col("val") + F.lit(float(nu)) * F.exp(-(F.col("ys") - F.col("yd")) * (F.col("ys") - F.col("yd")))).alias("val"))

@@ -126,7 +126,9 @@ def anderson_darling(df: DataFrame, k: int = 2) -> DataFrame:
 
 def wasserstein1(df: DataFrame) -> DataFrame:
     """One row, w1: the distance of the weighted distributions of y in folds 0 and 1."""
-    s = _steps(df, 2)
+    from .graph import cut_lineage
+
+    s = cut_lineage(_steps(df, 2))
     # The next value of each step: within its range by a window, across ranges by the ranges' first values.
     from ..functions.prefix import value_ranges
 

@@ -33,7 +33,7 @@ def _supers(s, d):
 def _shingles(s, d):
     words = F.split(F.lower(F.regexp_replace("text", r"\s+", " ")), " ")
     w = table(s, d, "documents").select(F.col("doc_id").alias("obs_id"), "lang", words.alias("w")).where(F.size("w") >= 3)
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.slice("w", i + 1, 3)))
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.slice("w", i + 1, 3)))
     return w.select("obs_id", "lang", F.explode(F.array_distinct(grams)).alias("item"))
 
 

@@ -184,3 +184,25 @@ def test_baselines_cover_every_row_once(spark):
     d = spark.createDataFrame([(i, "a" if i % 3 else None, float(i % 4)) for i in range(20)], "obs_id long, g string, y double")
     for out in (baselines.random(d), baselines.stratified(d, "g"), baselines.group_stop(d, "g"), baselines.group_skip(d, "g"), baselines.ordered(d, F.col("y")), baselines.kfold(d, "g")):
         assert out.count() == 20 and out.where("fold is null").count() == 0
+
+
+def test_hull_of_a_square(spark):
+    from partita.operators import geometry
+
+    pts = [(i, 0, float(u), float(v)) for i, (u, v) in enumerate(itertools.product((0, 1, 2), repeat=2))]
+    d = spark.createDataFrame(pts + [(20, 1, 1.0, 0.5), (21, 1, 3.0, 1.0), (22, 1, 1.0, 3.0), (23, 1, 3.0, 3.0)], "obs_id long, fold int, u double, v double")
+    assert sorted(geometry.training_hull(d)) == [(0.0, 0.0), (0.0, 2.0), (2.0, 0.0), (2.0, 2.0)]
+    assert geometry.outside_hull_rate(d).first().rate == 0.75
+    other = d.where("fold = 0").unionByName(d.where("fold = 0").selectExpr("obs_id", "1 as fold", "u + 1 as u", "v"))
+    assert geometry.hull_overlap(other).first().iou == pytest.approx(2 / 6)
+
+
+def test_swaps_keep_counts_and_bootstrap_surrounds_the_mean(spark):
+    from partita.operators import select
+
+    d = spark.createDataFrame([(i, i % 2) for i in range(6)], "obs_id long, fold int")
+    g = spark.createDataFrame([(0, 5.0), (2, -1.0), (4, -9.0), (1, 1.0), (3, 0.5), (5, -3.0)], "obs_id long, gain double")
+    got = {r.obs_id: r.fold for r in assign.swap_pairs(d, g).collect()}
+    assert got == {0: 1, 1: 0, 2: 0, 3: 1, 4: 0, 5: 1}
+    b = select.bootstrap_mean(spark.range(200).selectExpr("id as obs_id", "cast(id % 10 as double) as v"), "v").first()
+    assert b.lo < b.mean < b.hi and b.mean == pytest.approx(4.5)
