@@ -15,6 +15,8 @@ from operator import not_
 
 import numpy as np
 
+from .common import cached
+
 #: White space before which a cut is sure, and characters that pattern engines class differently, at which there is none.
 _SURE = " \t\n\r"
 _UNSURE = "\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
@@ -27,7 +29,7 @@ _chunks = re.compile(
 _single = re.compile(f" ?[{_LATIN}]+").fullmatch
 
 #: Chunks held in each of the memo's two generations, and the longest chunk held.
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 250_000
 MEMO_CHARS = 48
 
 
@@ -98,11 +100,6 @@ class ChunkEncoder:
         return [b"".join(v) for v in got]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """This process's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return cached(("bpe", path), lambda: ChunkEncoder(path))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, only
+from .common import documents, drop_cache, map_rows, only
 
 TOP = 300
 _other = re.compile(r"[\W\d_]+")
@@ -53,6 +53,7 @@ def learn(docs: DataFrame, top: int = TOP) -> dict[str, np.ndarray]:
     text_batches(src.sparkSession)
 
     def run(batches):
+        drop_cache()
         held: dict[str, list] = {}
         size = 0
 

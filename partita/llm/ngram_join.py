@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, map_rows, only, small, text_batches, written
+from .common import discard, documents, drop_cache, map_rows, only, small, text_batches, written
 from .components import connected_components
 from .shingles import order_codes, shingle_set
 
@@ -54,6 +54,7 @@ def frequent_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     text_batches(src.sparkSession)
 
     def run(batches):
+        drop_cache()
         held: list[np.ndarray] = []
         total = 0
 

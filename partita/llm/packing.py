@@ -113,8 +113,8 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_
 
 
 def duplicate_cluster(text):
-    """A cluster key of equal texts, white space and case aside; null texts have none."""
-    return F.when(F.length(F.trim(text)) > 0, F.md5(F.lower(F.regexp_replace(F.trim(text), r"\s+", " "))))
+    """A cluster key of equal texts; null and blank texts have none."""
+    return F.when(F.length(F.trim(text)) > 0, F.md5(text))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:

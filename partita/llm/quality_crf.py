@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, mix, only
+from .common import documents, drop_cache, map_rows, mix, only, text_batches
 
 #: Bound of the labelled sample that the field is fitted on.
 TRAIN_DOCS = 1500
@@ -199,11 +199,10 @@ def quality(docs: DataFrame, model: tuple[np.ndarray, float], min_content: float
 
 def keep(docs: DataFrame, model: tuple[np.ndarray, float], min_content: float = MIN_CONTENT) -> DataFrame:
     """The rows of ``docs`` that :func:`quality` would keep, with all their columns."""
-    from .common import text_batches
-
     text_batches(docs.sparkSession)
 
     def run(batches):
+        drop_cache()
         for b in batches:
             yield b.filter(pa.array([judge(t or "", model, min_content)[-1] for t in b.column("text").to_pylist()], pa.bool_()))
 

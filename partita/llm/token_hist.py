@@ -26,7 +26,7 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None, extra: int = 0,
         ids = encoder(path).encode([t or "" for t in b.column("text").to_pylist()])
         return {k: b.column(k) for k in keep} | {"n_tokens": [len(x) // 4 + extra for x in ids]}
 
-    return map_rows(only(docs, *keep, "text"), run, "".join(f"`{k}` {fields[k]}, " for k in keep) + "n_tokens long")
+    return map_rows(only(docs, *keep, "text"), run, "".join(f"`{k}` {fields[k]}, " for k in keep) + "n_tokens long", keeps_cache=True)
 
 
 def length_histogram(docs: DataFrame, tokenizer: str | None = None, extra: int = 0) -> DataFrame:

@@ -113,7 +113,7 @@ def encode_frames(docs: DataFrame, path: str, eos: int | None, width: int, add_r
             out["frame"].append(frame(ids, width))
         return add_range(b, out)
 
-    return map_rows(only(docs, "doc_id", "text"), run, "doc_id long, n long, raw long, sum long, frame binary, range int")
+    return map_rows(only(docs, "doc_id", "text"), run, "doc_id long, n long, raw long, sum long, frame binary, range int", keeps_cache=True)
 
 
 def doc_id_edges(docs: DataFrame, n_files: int) -> np.ndarray:
