@@ -18,11 +18,20 @@ from .common import discard, documents, only, small, written
 
 LEADING, SIMILARITY, MIN_DOCS = 3, 0.6, 3
 
-_BLANK = r"[ \t\r\f\x0B]+"
+_BLANKS = " \t\r\f\x0b"
 
 
-def _tokens(line: Column) -> Column:
-    return F.split(F.regexp_replace(line, r"^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", ""), _BLANK)
+def _bare(line: Column) -> Column:
+    return F.trim(line, F.lit(_BLANKS))
+
+
+def _spaced(line: Column) -> Column:
+    """The line's tokens, one space between them. Only lines with other blanks, or several, meet a regular expression."""
+    bare = _bare(line)
+    odd = bare.contains("  ")
+    for c in _BLANKS[1:]:
+        odd = odd | bare.contains(c)
+    return F.when(odd, F.regexp_replace(bare, r"[ \t\r\f\x0B]+", " ")).otherwise(bare)
 
 
 def _masked(tokens: Column) -> Column:
@@ -30,10 +39,14 @@ def _masked(tokens: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (stands for the whole text), pos, tokens and leaf of each line with a token."""
+    """doc_id, th (stands for the whole text), pos, line (spaced) and leaf of each line with a token.
+
+    The number of tokens and the leading ones are found without splitting the line.
+    """
     base = only(docs, "doc_id", "text").where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = base.select("doc_id", "th", "pos", _tokens(F.col("line")).alias("tokens")).where("tokens[0] <> ''")
-    return lines.withColumn("leaf", F.xxhash64(F.size("tokens"), _masked(F.slice("tokens", 1, LEADING))))
+    lines = base.where(_bare(F.col("line")) != "").select("doc_id", "th", "pos", _spaced(F.col("line")).alias("line"))
+    blanks = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    return lines.withColumn("leaf", F.xxhash64(blanks, _masked(F.split(F.substring_index("line", " ", LEADING), " "))))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
@@ -41,7 +54,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     lines = _lines(docs)
     leaves = lines.select("leaf", "th").distinct().groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs).select("leaf")
     leaves = written(leaves, "line-leaves")
-    masked = lines.join(small(leaves), "leaf").select("doc_id", "th", "pos", "leaf", _masked(F.col("tokens")).alias("tokens"))
+    masked = lines.join(small(leaves), "leaf").select("doc_id", "th", "pos", "leaf", _masked(F.split("line", " ")).alias("tokens"))
     found = written(masked.select("doc_id", "th", "pos", "leaf", F.xxhash64("tokens").alias("line"), F.transform(F.slice("tokens", F.lit(LEADING + 1), F.size("tokens")), lambda t: F.xxhash64(t)).alias("tail")), "line-found")
     discard(leaves)
 
