@@ -118,7 +118,7 @@ def scan_block(ids: np.ndarray, base: np.ndarray, q_ids: np.ndarray, queries: np
         full = ((q[:, None, :] - bu[first]) ** 2).sum(2)
         full[~np.isfinite(np.take_along_axis(part, first, 1))] = np.inf
         bound = np.full(len(q), np.inf) if first.shape[1] < k else full.max(1)
-        keep = part * (d / t) <= (bound * (1 + EPSILON / np.sqrt(t)) ** 2)[:, None] if t < d else part <= bound[:, None] * (1 + 1e-9) + 1e-12
+        keep = part * (d / t) <= (bound * (1 + EPSILON / np.sqrt(t)) ** 2)[:, None] + 1e-12 if t < d else part <= bound[:, None] * (1 + 1e-9) + 1e-12
         np.put_along_axis(keep, first, True, 1)
         keep &= np.isfinite(part)
         i, j = np.nonzero(keep)

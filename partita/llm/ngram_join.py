@@ -167,7 +167,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     reps = named.join(small(classes.select(F.col("class_id").alias("doc_id"))), "doc_id", "left_semi")
 
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).alias("band") if num < den else F.col("n").alias("band")
-    spread = reps.select("doc_id", F.col("n").cast("int").alias("n"), F.posexplode("p0").alias("pos", "token"))
+    spread = reps.select("doc_id", "n", F.posexplode("p0").alias("pos", "token"))
     shared = spread.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     entries = written(spread.join(shared, "token"), "ngram-entries")
 

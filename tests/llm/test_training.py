@@ -324,6 +324,14 @@ def test_scan_abandons_early_and_keeps_the_best():
     assert s == pytest.approx([q[k] @ b[k] / np.linalg.norm(q[k]) / np.linalg.norm(b[k]) for k in range(5)])
 
 
+def test_equal_vectors_rank_by_id(spark):
+    rng = np.random.default_rng(3)
+    one = [float(v) for v in rng.normal(size=48)]
+    d = spark.createDataFrame([(i, one if i % 3 else [float(v) for v in rng.normal(size=48)]) for i in range(200)], "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in ann_scan.nearest(d).where("query_id = 50").orderBy("rank").collect()]
+    assert got == [1, 2, 4, 5, 7]
+
+
 # Line dedup
 
 
