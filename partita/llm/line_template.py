@@ -61,7 +61,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     forms = found.groupBy("leaf", "line", "th").agg(F.first("tail").alias("tail")).groupBy("leaf", "line").agg(F.count("*").alias("w"), F.first("tail").alias("tail"))
     forms = written(forms, "line-forms")
     several = forms.groupBy("leaf").agg(F.sum("w").alias("all"), F.count("*").alias("forms")).where("forms > 1").select("leaf", "all")
-    spread = forms.where(F.size("tail") > 0).join(several, "leaf").select("leaf", "line", "all", "w", F.size("tail").alias("n"), F.posexplode("tail").alias("at", "token"))
+    several = written(several, "line-several")
+    spread = forms.where(F.size("tail") > 0).join(small(several), "leaf").select("leaf", "line", "all", "w", F.size("tail").alias("n"), F.posexplode("tail").alias("at", "token"))
     constant = spread.groupBy("leaf", "at", "token").agg(F.sum("w").alias("w"), F.first("all").alias("all")).where("2 * w > all").select("leaf", "at", "token")
     agree = spread.join(constant, ["leaf", "at", "token"]).groupBy("leaf", "line").agg(F.count("*").alias("same"), F.first("n").alias("n")).where(F.col("same") >= F.lit(similarity) * F.col("n"))
     # Written first: a line that a third of all documents has is then split by the skew join, or not shuffled at all.
@@ -69,7 +70,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     placed = found.select("doc_id", "th", "pos", "leaf", "line").join(small(agree), ["leaf", "line"], "left")
     named = placed.select("doc_id", "th", "pos", F.when(F.col("general"), F.xxhash64("leaf", F.lit("leaf"))).otherwise(F.col("line")).alias("template"))
     named = written(named, "line-named")
-    discard(forms, found, agree)
+    discard(forms, found, agree, several)
 
     first = named.groupBy("template", "th").agg(F.min("doc_id").alias("doc_id")).groupBy("template").agg(F.count("*").alias("texts"), F.min(F.struct("doc_id", "th")).alias("first"))
     often = written(first.where(F.col("texts") >= min_docs).select("template", F.col("first.th").alias("keeper")), "line-often")
