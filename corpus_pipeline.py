@@ -40,8 +40,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's place in a bin."""
-    return packing.pack_documents(docs)
+    """Every document's place in a bin. The encoder's memo is small, as executors still hold what earlier stages left."""
+    return packing.pack_documents(docs, memo_chunks=120_000)
 
 
 STAGES = [("quality", quality_stage), ("lines", line_stage), ("near_copies", join_stage), ("pii", pii_stage), ("packing", packing_stage)]

@@ -29,7 +29,7 @@ _chunks = re.compile(
 _single = re.compile(f" ?[{_LATIN}]+").fullmatch
 
 #: Chunks held in each of the memo's two generations, and the longest chunk held.
-MEMO_CHUNKS = 250_000
+MEMO_CHUNKS = 600_000
 MEMO_CHARS = 48
 
 
@@ -100,6 +100,6 @@ class ChunkEncoder:
         return [b"".join(v) for v in got]
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, memo_chunks: int = MEMO_CHUNKS) -> ChunkEncoder:
     """This process's encoder for a vocabulary file."""
-    return cached(("bpe", path), lambda: ChunkEncoder(path))
+    return cached(("bpe", path, memo_chunks), lambda: ChunkEncoder(path, memo_chunks))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import MEMO_CHUNKS
 from .common import documents, mix, written
 from .token_hist import token_lengths
 
@@ -117,10 +118,10 @@ def duplicate_cluster(text):
     return F.when(F.length(F.trim(text)) > 0, F.md5(text))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, memo_chunks: int = MEMO_CHUNKS) -> DataFrame:
     """Encode ``docs`` (doc_id, text, source) with an end id each and pack them; other columns are ignored."""
     keyed = docs.select("doc_id", "text", "source", duplicate_cluster(F.col("text")).alias("cluster"))
-    lengths = written(token_lengths(keyed, extra=1, keep=("doc_id", "source", "cluster")), "packing-lengths")
+    lengths = written(token_lengths(keyed, extra=1, keep=("doc_id", "source", "cluster"), memo_chunks=memo_chunks), "packing-lengths")
     return best_fit(lengths, capacity, shard_docs)
 
 

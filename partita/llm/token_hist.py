@@ -10,20 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder, tokenizer_path
+from .bpe import MEMO_CHUNKS, encoder, tokenizer_path
 from .common import documents, map_rows, only, written
 
 #: Lengths per block of the two-level running sums.
 BLOCK = 256
 
 
-def token_lengths(docs: DataFrame, tokenizer: str | None = None, extra: int = 0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and n_tokens of every whole text; ``extra`` ids are added to each document."""
+def token_lengths(docs: DataFrame, tokenizer: str | None = None, extra: int = 0, keep: tuple[str, ...] = ("doc_id",), memo_chunks: int = MEMO_CHUNKS) -> DataFrame:
+    """``keep`` columns and n_tokens of every whole text; ``extra`` ids are added to each document. ``memo_chunks`` bounds
+    what a worker remembers, about 300 bytes a chunk."""
     path = tokenizer or tokenizer_path()
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(b: pa.RecordBatch) -> dict:
-        ids = encoder(path).encode([t or "" for t in b.column("text").to_pylist()])
+        ids = encoder(path, memo_chunks).encode([t or "" for t in b.column("text").to_pylist()])
         return {k: b.column(k) for k in keep} | {"n_tokens": [len(x) // 4 + extra for x in ids]}
 
     return map_rows(only(docs, *keep, "text"), run, "".join(f"`{k}` {fields[k]}, " for k in keep) + "n_tokens long", keeps_cache=True)
