@@ -36,3 +36,10 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted(rel.columns) == cols
     want = sorted((tuple(same(r[rel.columns.index(c)]) for c in cols) for r in rel.fetchall()), key=str)
     assert got == want
+
+
+def test_entry_registers_every_query():
+    import __spark_entry__ as entry
+
+    q, o = entry.queries(), entry.oracle_sql()
+    assert set(catalogue.queries()) <= set(q) and set(o) <= set(q) and len(q) >= 150
