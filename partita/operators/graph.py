@@ -17,9 +17,11 @@ from .similarity import nearest
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an iteration's table to the cluster's checkpoint folder, so that later rounds don't repeat it."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
         path = "file://" + tempfile.mkdtemp(prefix="partita-")
         spark.conf.set("spark.checkpoint.dir", path)
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return df.checkpoint()
 
