@@ -16,7 +16,6 @@ decompresses only the frames asked for.
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, tokenizer_path
-from .common import documents, map_rows, new_dir, only, text_batches
+from .common import documents, map_rows, new_dir, only, text_batches, written
 
 _SKIP, _TABLE, _FOOT = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
@@ -222,6 +221,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, write the files, and read each document back from them."""
     out = new_dir(spark, "token-files")
     docs = documents(spark, sf_dir)
-    from .common import written
-
     return read_token_files(written(write_token_files(docs, out), "token-file-list"))
