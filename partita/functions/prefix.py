@@ -12,10 +12,9 @@ RANGES = 64
 def value_ranges(df: DataFrame, by: str, ranges: int = RANGES) -> Column:
     """The range, 0 to ``ranges``, that each row's ``by`` is in; rows with one value share a range."""
     edges = df.approxQuantile(by, [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
-    out = F.lit(0)
-    for e in sorted(set(edges)):
-        out = out + (F.col(by) > F.lit(e)).cast("int")
-    return out
+    if not edges:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col(by)))
 
 
 def running_sums(df: DataFrame, by: str, values: dict[str, str], keys: tuple[str, ...] = (), ties: tuple[str, ...] | None = None, ranges: int = RANGES) -> DataFrame:
