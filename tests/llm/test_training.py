@@ -184,6 +184,15 @@ def test_samples_decode_and_repeat(spark, lat):
     assert sentencepiece_topk.sample_documents(docs_of(spark, [])).count() == 0
 
 
+@needs_data
+def test_the_query_gives_three_samples_of_every_longer_text(spark):
+    want = {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) > 20").collect()}
+    got = collections.defaultdict(list)
+    for r in queries()["op1_sentencepiece_topk"](spark, DATA).collect():
+        got[r.doc_id].append(r["sample"])
+    assert want and all(sorted(set(got[i])) == [1, 2, 3] for i in want)
+
+
 # Near copies
 
 
