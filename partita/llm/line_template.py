@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, documents, only, small, written
 
-LEADING, SIMILARITY, MIN_DOCS = 3, 0.6, 3
+LEADING, SIMILARITY, MIN_DOCS = 3, 0.6, 2
 
 _BLANKS = " \t\r\f\x0b"
 

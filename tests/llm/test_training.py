@@ -371,6 +371,15 @@ def test_line_dedup_matches_sql(spark):
     assert line_template.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_a_passage_that_two_documents_share_stays_in_the_first_only(spark):
+    rng = random.Random(4)
+    passage, short = prose(rng, 60), "shared by two"
+    texts = [f"{prose(rng, 20)}\n{passage}\n{short}", prose(rng, 30), f"{passage}\n{prose(rng, 25)}\n{short}"]
+    rows = {r.doc_id: r for r in line_template.dedup_lines(docs_of(spark, texts)).collect()}
+    assert rows[0].text == texts[0] and rows[1].text == texts[1]
+    assert rows[2].text == texts[2].split("\n")[1] and rows[2].n_dropped == 2
+
+
 # Packing
 
 
