@@ -176,7 +176,7 @@ QUERIES = {
     "source_csv_latin1": _latin1,
     "source_json_split": _json,
     "source_precomputed": lambda s, d: read_precomputed(parts(s, d).select("obs_id", "kind"), "obs_id", "kind", {"ECONOMY": 0, "STANDARD": 1}),
-    "source_edges": lambda s, d: read_edges(pairs(s, d).select("left_id", "right_id", "w").where("left_id < 100"), "left_id", "right_id", "w"),
+    "source_edges": lambda s, d: read_edges(pairs(s, d).select("left_id", "right_id", "w"), "left_id", "right_id", "w"),
     "sink_assignment": _roundtrip,
     "stream_incremental": _stream,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from partita.functions.prefix import running_sums
 from partita.operators import assign, baselines, coarsen, folds, graph, prep, similarity, stratify, transport
+from partita.plans import catalogue
 from partita.plans.engine import SplitSpec, multi_split, split, sweep
 
 
@@ -206,3 +207,12 @@ def test_swaps_keep_counts_and_bootstrap_surrounds_the_mean(spark):
     assert got == {0: 1, 1: 0, 2: 0, 3: 1, 4: 0, 5: 1}
     b = select.bootstrap_mean(spark.range(200).selectExpr("id as obs_id", "cast(id % 10 as double) as v"), "v").first()
     assert b.lo < b.mean < b.hi and b.mean == pytest.approx(4.5)
+
+
+def test_source_edges_reads_every_pair(spark, tmp_path):
+    rows = [(1, 2), (1, 2), (2, 1), (150, 7), (150, 7), (7, 150), (300, 300), (5000, 9)]
+    spark.createDataFrame([(a, b, 1.0) for a, b in rows], "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    w = {p: rows.count(p) for p in rows if p[0] != p[1]}
+    want = {(a, b): float(max(w.get((a, b), 0), w.get((b, a), 0))) for p in w for a, b in (p, p[::-1])}
+    got = catalogue.queries()["source_edges"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.src, r.dst): r.val for r in got} == want
