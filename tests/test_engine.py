@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from partita.functions.prefix import running_sums
 from partita.operators import assign, baselines, coarsen, folds, graph, prep, similarity, stratify, transport
-from partita.plans import catalogue
+from partita.plans import catalogue, fixtures
 from partita.plans.engine import SplitSpec, multi_split, split, sweep
 
 
@@ -216,3 +216,12 @@ def test_source_edges_reads_every_pair(spark, tmp_path):
     want = {(a, b): float(max(w.get((a, b), 0), w.get((b, a), 0))) for p in w for a, b in (p, p[::-1])}
     got = catalogue.queries()["source_edges"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r.src, r.dst): r.val for r in got} == want
+
+
+def test_laplace_kernel_sums_over_every_vector(spark):
+    d = "/root/testdata/sf0.001"
+    rows = fixtures.vectors(spark, d).select("obs_id", "x").collect()
+    x = np.array([r.x for r in rows], np.float64)
+    got = {r.src: r.row_sum for r in catalogue.queries()["laplace_kernel"](spark, d).collect()}
+    want = {r.obs_id: float(np.exp(-0.1 * np.abs(x - v).sum(1)).sum()) for r, v in zip(rows, x)}
+    assert len(rows) > 100 and got == pytest.approx(want, abs=2e-6)
