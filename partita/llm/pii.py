@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,10 @@ _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _any = re.compile(r"[0-9@]")
 _secret = re.compile(r"[A-Za-z0-9_+/-]{16,}=*")
 _name = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Madame|Monsieur|Señor|Señora)\.? ((?:[^\W\d_]+[ ]){0,2}[^\W\d_]+)")
+#: Every honorific has one of these in it, so a text without them has no name for :data:`_name`.
+_STEMS = ("Mr", "Ms", "Dr", "Herr", "Frau", "Madame", "Monsieur", "Señor")
+#: How near a base span counts as near.
+NEAR = 80
 
 # Cue words.
 CUES = frozenset("api account auth bearer bank card cell contact credential credit cvv dial email fax iban ip key login mail mobile number passport password passwd phone pin pwd secret ssn tel telephone token user visa".split())
@@ -107,7 +113,7 @@ LABELERS = ("pattern_mixed", "pattern_hex", "pattern_digits", "gazetteer_cue", "
 FEATURES = ("bias", "digits_some", "digits_most", "letters_both_cases", "long", "very_long", "cue_near", "against_near", "assigned", "quoted", "near_base", "in_word", "is_secret", "is_name", "is_digits")
 
 
-def _judge(text: str, start: int, end: int, kind: int, base: list[tuple[int, int, int]]) -> Candidate:
+def _judge(text: str, start: int, end: int, kind: int, near: bool) -> Candidate:
     s = text[start:end]
     digits = sum(map(str.isdigit, s))
     letters = sum(map(str.isalpha, s))
@@ -115,7 +121,6 @@ def _judge(text: str, start: int, end: int, kind: int, base: list[tuple[int, int
     cues = {w.lower() for w in re.findall(r"[^\W\d_]+", before)[-4:]}
     bare = before.rstrip("\"'` ")
     assigned, quoted = bare[-1:] in ("=", ":"), before[-1:] in ("\"", "'", "`") and after in ("\"", "'", "`")
-    near = any(abs(b - end) < 80 or abs(start - e) < 80 for b, _, e in base)
     inside = before[-1:].isalnum() or after.isalnum()
     hexa = kind == 4 and digits and letters and all(c in "0123456789abcdefABCDEF" for c in s)
     cue, against = bool(cues & CUES), bool(cues & AGAINST)
@@ -134,23 +139,33 @@ def _judge(text: str, start: int, end: int, kind: int, base: list[tuple[int, int
     return Candidate(start, end, kind, votes, tuple(map(int, features)))
 
 
+class BaseSpans:
+    """All base spans of a text, to be asked by bisection whether one overlaps a span or begins or ends near it."""
+
+    def __init__(self, base: list[tuple[int, int, int]]):
+        self.starts = [s for s, _, _ in base]
+        self.ends = sorted(e for _, _, e in base)
+        self.reach = list(accumulate((e for _, _, e in base), max))  # the farthest end of the spans up to each one
+
+    def overlap(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.reach[i - 1] > start
+
+    def near(self, start: int, end: int) -> bool:
+        """Whether a base span begins less than ``NEAR`` from ``end``, or ends less than that from ``start``."""
+        return any(bisect_right(at, x - NEAR) < bisect_left(at, x + NEAR) for at, x in ((self.starts, end), (self.ends, start)))
+
+
 def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[Candidate]]:
-    """The base spans and the judged candidates of a text."""
-    names = [(m.start(1), 5, m.end(1)) for m in _name.finditer(text)] if "r" in text and re.search(r"\b(?:Mr|Dr|Ms|Herr|Frau|Mada|Mons|Señ)", text) else []
+    """The base spans and the judged candidates of a text; no candidate overlaps a base span."""
+    names = [(m.start(1), 5, m.end(1)) for m in _name.finditer(text)] if any(s in text for s in _STEMS) else []
     if not names and not _any.search(text):
         return [], []
     base, bad = base_and_rejected(text)
     rest = [(s, 6 if k == 2 else k, e) for s, k, e in bad] + names
     rest += [(m.start(), 4, m.end()) for m in _secret.finditer(text) if re.search(r"[0-9]", m[0])]
-    out, i = [], 0
-    spans = sorted(base)
-    for s, k, e in sorted(rest):
-        while i < len(spans) and spans[i][2] <= s - 200:
-            i += 1
-        close = [b for b in spans[max(0, i - 3) : i + 12]]
-        if not any(b < e and s < x for b, _, x in close):
-            out.append(_judge(text, s, e, k, close))
-    return base, out
+    among = BaseSpans(base)
+    return base, [_judge(text, s, e, k, among.near(s, e)) for s, k, e in sorted(rest) if not among.overlap(s, e)]
 
 
 def vote_counts(docs: DataFrame) -> DataFrame:
@@ -223,7 +238,12 @@ def told(spans: list[tuple[int, int, int]]) -> str:
 
 
 def spans(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
-    """Counts of base spans, a hash of them, and all spans, for each row of ``docs`` (doc_id, text); null texts are empty."""
+    """Counts of base spans, a hash of them, and all spans, for each row of ``docs`` (doc_id, text).
+
+    Null and empty texts have no spans. Repeated rows each give a row, with the same spans; a null doc_id stays null. Of
+    spans that begin at one place the kind listed first comes first. Texts are searched whole, in time near linear in
+    their length. Other columns are ignored. An empty table gives an empty result.
+    """
 
     def run(b: pa.RecordBatch) -> dict:
         out: dict = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")}
@@ -238,7 +258,11 @@ def spans(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
 
 
 def redact(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
-    """``docs`` with each span of its text replaced by its kind in brackets; overlapping spans become one. Null texts stay null."""
+    """``docs`` with each span of its text replaced by its kind in brackets; all other columns pass through.
+
+    Overlapping spans become one, named after the first; of spans that begin together, after the kind listed first. Null
+    and empty texts stay as they are. Repeated rows each give a row. An empty table gives an empty result.
+    """
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def clean(t: str | None) -> str | None:
@@ -259,5 +283,6 @@ def redact(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
 
 
 def op7_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and the added ones of every whole document, by a classifier fitted on the votes of all of them."""
     docs = documents(spark, sf_dir)
     return spans(docs, fit(docs))
