@@ -12,9 +12,13 @@ search pops one new segmentation at a time: it draws the path that attains the v
 the set of those that leave the path there. The largest value left after k pops, kappa, gives the inclusion probability
 ``1 - exp(-exp(log p - kappa))``.
 
+Probabilities are held as logarithms. A node's most probable edge has that of one plus the sum of the others' ratios to
+it, so the mass that remains beside an edge is exact however small it is, and no segmentation is lost beside a sure one.
+
 Pieces never cross certain boundaries (before a blank, between letters and other characters), which is checked against
-the vocabulary; the lattice is a chain of segments' lattices, built once per distinct segment. All draws for a text come
-from a generator that is seeded by its key.
+the vocabulary; the lattice is a chain of segments' lattices, built once per distinct segment. Long segments' lattices are
+dropped with the texts that need them, and the others all at once when there are too many edges. All draws for a text
+come from a generator that is seeded by its key.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +36,12 @@ from .common import cached, documents, map_rows, only
 from .shingles import mix64
 
 BLANK = "▁"
-#: Segments whose lattices are held at a time, and the longest one held.
-MEMO_SEGMENTS, MEMO_CHARS = 550_000, 40
+#: Edges that are held at a time, about 21 bytes each, and the longest segment whose lattice is held.
+MEMO_EDGES, MEMO_CHARS = 12_000_000, 40
+#: Characters of long segments that are sampled at a time, beyond a single text's.
+SCRATCH_CHARS = 1 << 18
+#: Up to this power the ratios of the masses that leave a node stay within what a double holds.
+MAX_ALPHA = 8.0
 #: Piece r (by rank) has log-probability -log(r + ZIPF), less a constant: the file has merge ranks, not probabilities.
 ZIPF = 10.0
 #: Texts sampled at a time: their arrays should fit a core's cache.
@@ -51,11 +60,18 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 class Lattices:
-    """Lattices of segments, flat: nodes with a range of edges, edges with cumulative probability, target and ids."""
+    """Lattices of segments, flat: nodes with a range of edges, edges with cumulative probability, target and ids.
+
+    ``alpha`` must be positive and at most ``MAX_ALPHA``. At most ``memo`` edges are held from batch to batch, and the
+    long segments of one group of texts (see :meth:`groups`).
+    """
 
-    def __init__(self, path: str, alpha: float = 1.0, memo: int = MEMO_SEGMENTS):
+    def __init__(self, path: str, alpha: float = 1.0, memo: int = MEMO_EDGES):
         from sentencepiece import SentencePieceProcessor
 
+        if not 0 < alpha <= MAX_ALPHA:
+            raise ValueError(f"alpha must be above 0 and at most {MAX_ALPHA}")
+
         sp = SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.alpha, self.memo = alpha, memo
@@ -91,13 +107,29 @@ class Lattices:
 
     def reset(self) -> None:
         self.starts: dict[str, int] = {}
+        self.passing: list[str] = []
+        self.long: set[str] = set()
         self.n_nodes = self.n_edges = 0
         self.raw: list[list[int]] = []  # ids of characters that are no piece; such an edge has -1 - index as its piece
-        # Per node its first edge; per edge the running probability at its node, its own, how many characters it takes (0: all
-        # that are left), and its piece.
-        kinds = {"first_edge": np.int32, "cum": np.float32, "prob": np.float64, "step": np.uint8, "piece": np.int32}
+        # Per node its first edge; per edge the running probability at its node (2 at the last), the logarithm of its own,
+        # how many characters it takes (0: all that are left), and its piece.
+        kinds = {"first_edge": np.int64, "cum": np.float64, "logp": np.float64, "step": np.uint8, "piece": np.int32}
         for name, kind in kinds.items():
             setattr(self, name, np.zeros(1 << 16, kind))
+        self.kept = (0, 0, 0)
+
+    def forget(self) -> None:
+        """Drop the long segments' lattices, which stand behind the others."""
+        n, e, r = self.kept
+        self.n_nodes, self.n_edges = n, e
+        del self.raw[r:]
+        for s in self.passing:
+            del self.starts[s]
+        self.passing = []
+        for name, used in (("first_edge", n), ("cum", e), ("logp", e), ("step", e), ("piece", e)):
+            a = getattr(self, name)
+            if len(a) > 2 * used + (1 << 22):
+                setattr(self, name, a[: used + (1 << 16)].copy())
 
     def _put(self, name: str, start: int, values: np.ndarray) -> None:
         a = getattr(self, name)
@@ -151,38 +183,65 @@ class Lattices:
             total = np.add.reduceat(np.exp(w - np.repeat(top, np.diff(heads, append=len(i)))), heads)
             beta[i[heads]] = top + np.log(total)
             weight[a:b] = w
-        prob = np.exp(weight - beta[src])
-        order = np.argsort(src - prob * 0.999, kind="stable")
-        src, length, piece, prob = src[order], length[order], piece[order], prob[order]
+        logp = weight - beta[src]
+        order = np.argsort(src - np.exp(logp) * 0.999, kind="stable")
+        src, length, piece, logp = src[order], length[order], piece[order], logp[order]
         heads = np.flatnonzero(np.diff(src, prepend=-1))
         degree = np.diff(heads, append=len(src))
-        prob[heads[degree == 1]] = 1.0
+        ratio = np.exp(logp - np.repeat(logp[heads], degree))
+        ratio[heads] = 0.0
+        logp[heads] = -np.log1p(np.add.reduceat(ratio, heads))
+        prob = np.exp(logp)
         cum = np.cumsum(prob)
         cum -= np.repeat(cum[heads] - prob[heads], degree)
         cum[heads + degree - 1] = 2.0
         node0, edge0 = self.n_nodes, self.n_edges
         self._put("first_edge", node0, edge0 + heads)
         self._put("cum", edge0, cum)
-        self._put("prob", edge0, prob)
+        self._put("logp", edge0, logp)
         self._put("step", edge0, np.where(length < left[src], length, 0))
         self._put("piece", edge0, np.where(piece < 0, piece - len(self.raw), piece))
         self.raw += [[self.byte_ids.get(b, self.unk) for b in x] for x in raw]
         self.starts.update(zip(segments, (node0 + begin).tolist()))
         self.n_nodes, self.n_edges = node0 + n, edge0 + len(src)
 
-    def nodes(self, texts: list[str]) -> list[np.ndarray]:
-        """The first node of each segment of each text, as SentencePiece reads it: a blank first, blanks for spaces."""
-        if len(self.starts) > self.memo:
+    def segments(self, texts: list[str]) -> list[list[str]]:
+        """Each text's segments, as SentencePiece reads it: a blank first, blanks for spaces. Short ones' lattices are built."""
+        self.forget()
+        if self.n_edges > self.memo:
             self.reset()
         cut = [self.cut(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        new = list({s for c in cut for s in c}.difference(self.starts))
-        self.build(new)
-        get = self.starts.__getitem__
-        out = [np.fromiter(map(get, c), np.int64, len(c)) for c in cut]
-        for s in new:
-            if len(s) > MEMO_CHARS:
-                del self.starts[s]
-        return out
+        new = {s for c in cut for s in c}.difference(self.starts)
+        self.long = {s for s in new if len(s) > MEMO_CHARS}
+        self.build(list(new - self.long))
+        self.kept = (self.n_nodes, self.n_edges, len(self.raw))
+        return cut
+
+    def groups(self, cut: list[list[str]]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+        """Texts from .. to that are sampled together and the first node of each of their segments.
+
+        Long segments' lattices are built here, and dropped when the next group is asked for.
+        """
+        i = 0
+        while i < len(cut):
+            j, new, chars = i, set(), 0
+            while j < len(cut) and j - i < SUB_BATCH and (j == i or chars < SCRATCH_CHARS):
+                if self.long:
+                    more = self.long.intersection(cut[j]).difference(new)
+                    chars += sum(map(len, more))
+                    new |= more
+                j += 1
+            if self.passing:
+                self.forget()
+            self.passing = list(new)
+            self.build(self.passing)
+            get = self.starts.__getitem__
+            yield i, j, [np.fromiter(map(get, c), np.int64, len(c)) for c in cut[i:j]]
+            i = j
+
+    def nodes(self, texts: list[str]) -> list[np.ndarray]:
+        """The first nodes of the texts' segments, for a few texts at a time."""
+        return [n for _, _, nodes in self.groups(self.segments(texts)) for n in nodes]
 
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of a path drawn from each node on to its segment's end, one after another, and how many each took.
@@ -194,7 +253,7 @@ class Lattices:
         while len(live):
             step += 1
             u = _uniform(keys, step)
-            e = self.first_edge[nodes].astype(np.int64)
+            e = self.first_edge[nodes]
             far = np.flatnonzero(u > self.cum[e])
             v, x = u[far], e[far]
             while len(far):
@@ -220,7 +279,7 @@ class Lattices:
 
     def node_of(self, edge: int) -> int:
         """The node that an edge leaves."""
-        return int(np.searchsorted(self.first_edge[: self.n_nodes], np.int32(edge), "right")) - 1
+        return int(np.searchsorted(self.first_edge[: self.n_nodes], edge, "right")) - 1
 
     def token_ids(self, edges: np.ndarray) -> np.ndarray:
         p = self.piece[edges]
@@ -248,15 +307,21 @@ def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
 
 
 class _Path:
-    """One round's paths of a batch of texts: flat edges with their segment, and what stands from ``at`` on in the queue."""
+    """One round's paths of a batch of texts: each one's edges and their segments, and the flat range of values that stand
+    in the queue for its steps from ``at`` on; the steps before are an earlier path's."""
 
     def __init__(self, edges: list[np.ndarray], segs: list[np.ndarray], at: list[int]):
-        self.size = np.array([len(e) for e in edges])
+        self.edges, self.segs, self.at = edges, segs, at
+        self.size = np.array([len(e) for e in edges]) - at
         self.begin = np.cumsum(self.size) - self.size
-        self.edges, self.segs, self.at = np.concatenate(edges), np.concatenate(segs), at
         self.barred: dict[int, list[int]] = {}
 
 
+def _log_beside(logp: np.ndarray) -> np.ndarray:
+    """log(1 - exp(logp)), exact for small and large probabilities; -inf beside a sure one."""
+    return np.log(-np.expm1(logp))
+
+
 def sample_batch(lat: Lattices, texts: list[np.ndarray], keys: np.ndarray, k: int) -> tuple[list[list[tuple[np.ndarray, float, float]]], np.ndarray]:
     """For each text, a chain of segments given by their first nodes, up to k distinct paths, best first: (edges,
     log-probability, perturbed value); and each text's kappa. A text's result depends on its own key alone."""
@@ -268,14 +333,15 @@ def sample_batch(lat: Lattices, texts: list[np.ndarray], keys: np.ndarray, k: in
     which = [i for i in range(n) if len(texts[i])]
     # A set's value, its text, round and place there; the best of each round is kept up to date.
     value = -np.log(-np.log(_uniform(keys, 0x10001)))
-    rounds: list[tuple[_Path, np.ndarray, np.ndarray, list[int]]] = []
+    rounds: list[tuple[_Path, np.ndarray, np.ndarray, list[int], np.ndarray]] = []
     branch: dict[int, tuple[int, int]] = {}
     for r in range(k):
         if not which:
             break
         own = mix64(keys[which] + np.uint64(r + 1))
         heads, first_seg, rest = [], [], []
-        barred: dict[int, list[int]] = {}
+        ahead_of = np.zeros(len(which))  # log-probability of the steps taken over
+        barred: dict[int, tuple[list[int], list[int]]] = {}  # edges that may not follow here, and those that still may
         for j, i in enumerate(which):
             if not r:
                 heads.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
@@ -283,11 +349,11 @@ def sample_batch(lat: Lattices, texts: list[np.ndarray], keys: np.ndarray, k: in
                 rest.append(texts[i])
                 continue
             q, spot = branch[i]
-            path, values, _, members = rounds[q]
+            path, _, _, members, before = rounds[q]
             m = members.index(i) if members[min(j, len(members) - 1)] != i else j
-            a = int(path.begin[m])
-            e_old, s_old = path.edges[a : a + int(path.size[m])], path.segs[a : a + int(path.size[m])]
-            at = spot - a
+            e_old, s_old = path.edges[m], path.segs[m]
+            at = spot - int(path.begin[m]) + path.at[m]
+            ahead_of[j] = before[spot]
             out = path.barred.get(spot) or [int(e_old[at])]
             s = int(s_old[at])
             node = lat.node_of(int(e_old[at]))
@@ -295,9 +361,10 @@ def sample_batch(lat: Lattices, texts: list[np.ndarray], keys: np.ndarray, k: in
             while lat.cum[hi] < 1.5:
                 hi += 1
             free = [e for e in range(lo, hi + 1) if e not in out]
-            p = np.cumsum(lat.prob[free])
-            e = free[min(int(np.searchsorted(p, float(_uniform(own[j : j + 1], 0x10003)[0]) * p[-1])), len(free) - 1)]
-            barred[j] = [*out, e] if len(free) > 1 else []
+            p = lat.logp[free]
+            p = np.cumsum(np.exp(p - p.max()))
+            e = free.pop(min(int(np.searchsorted(p, float(_uniform(own[j : j + 1], 0x10003)[0]) * p[-1])), len(free) - 1))
+            barred[j] = [*out, e], free
             ahead = int(lat.step[e])
             nxt = node + ahead if ahead else -1
             heads.append((np.append(e_old[:at], e), s_old[: at + 1]))
@@ -316,37 +383,34 @@ def sample_batch(lat: Lattices, texts: list[np.ndarray], keys: np.ndarray, k: in
             segs.append(np.concatenate([s, tail_segs[cut[j] : cut[j + 1]]]))
             ats.append(max(0, len(e) - 1))
         path = _Path(edges, segs, ats)
-        prob = lat.prob[path.edges]
-        logs = np.log(prob)
+        logs = lat.logp[np.concatenate([e[at:] for e, at in zip(edges, ats)])]
         sums = np.cumsum(logs)
-        base = np.where(path.begin > 0, sums[path.begin - 1], 0.0)
+        base = np.where(path.begin > 0, sums[path.begin - 1], 0.0) - ahead_of
         owner = np.repeat(np.arange(len(which)), path.size)
-        left = 1.0 - prob
-        for j, out in barred.items():
-            spot = int(path.begin[j]) + ats[j]
-            left[spot] = max(0.0, 1.0 - float(lat.prob[out].sum())) if out else 0.0
-            path.barred[spot] = out
         with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-            mass = sums - logs - base[owner] + np.log(left)
-            noise = -np.log(_uniform(np.repeat(own, path.size) + (np.arange(len(owner)) - path.begin[owner]).astype(np.uint64), 0x10007))
+            left = _log_beside(logs)
+            for j, (out, free) in barred.items():
+                spot = int(path.begin[j])
+                left[spot] = np.logaddexp.reduce(lat.logp[free]) if free else -np.inf
+                path.barred[spot] = out
+            before = sums - logs - base[owner]
+            mass = before + left
+            step = np.arange(len(owner)) + (np.array(ats) - path.begin)[owner]
+            noise = -np.log(_uniform(own[owner] + step.astype(np.uint64), 0x10007))
             values = mass - np.log(np.exp(mass - value[which][owner]) + noise)
-        values[left <= 1e-14] = -np.inf
-        for j, at in enumerate(ats):
-            if at:
-                values[path.begin[j] : path.begin[j] + at] = -np.inf
         total = sums[path.begin + path.size - 1] - base
         for j, i in enumerate(which):
             found[i].append((edges[j], float(total[j]), float(value[i])))
-        rounds.append((path, values, np.maximum.reduceat(values, path.begin), list(which)))
+        rounds.append((path, values, np.maximum.reduceat(values, path.begin), list(which), before))
         top, branch = {}, {}
-        for q, (_, _, best, members) in enumerate(rounds):
+        for q, (_, _, best, members, _) in enumerate(rounds):
             for m, i in enumerate(members):
                 if best[m] > top.get(i, (-np.inf,))[0]:
                     top[i] = (float(best[m]), q, m)
         kappa[:] = -np.inf
         for i, (x, q, m) in top.items():
             kappa[i] = value[i] = x
-            path, values, best, _ = rounds[q]
+            path, values, best, _, _ = rounds[q]
             a, z = int(path.begin[m]), int(path.begin[m] + path.size[m])
             spot = a + int(values[a:z].argmax())
             branch[i] = (q, spot)
@@ -374,7 +438,9 @@ def sample_documents(docs: DataFrame, k: int = 3, alpha: float = 1.0, seed: int
     Columns: doc_id, sample (from 1, by falling perturbed value), n_tokens, log_prob, inclusion, and ids or, with
     ``digest``, ids_crc32 and round_trip (decoding gives the text back). A text with fewer than k segmentations gives
     them all, with inclusion 1. Null and empty texts have one segmentation, of no pieces. Draws depend on doc_id and
-    ``seed`` alone: rows that share a doc_id and text get the same samples; null ids share one seed.
+    ``seed`` alone: rows that share a doc_id and text get the same samples; null ids share one seed. ``alpha`` above
+    ``MAX_ALPHA``, or not positive, is refused. Very long texts are sampled whole; a worker holds the lattice of one
+    text's long segments at a time. Other columns are ignored. An empty table gives an empty result.
     """
     path = model or model_path()
 
@@ -382,18 +448,17 @@ def sample_documents(docs: DataFrame, k: int = 3, alpha: float = 1.0, seed: int
         lat = _lattices(path, alpha)
         keys, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
         out: dict = {n: [] for n in ("doc_id", "sample", "n_tokens", "log_prob", "inclusion", *(("ids_crc32", "round_trip") if digest else ("ids",)))}
-        nodes, seeds, drawn = lat.nodes(texts), row_keys(keys, seed), []
-        for i in range(0, len(texts), SUB_BATCH):
-            found, kappa = sample_batch(lat, nodes[i : i + SUB_BATCH], seeds[i : i + SUB_BATCH], k)
-            drawn += zip(found, kappa.tolist())
-        for key, text, (found, kappa) in zip(keys, texts, drawn):
-            whole = (BLANK + text.replace(" ", BLANK)).encode("utf-8", "surrogatepass") if digest and text and BLANK not in text else None
-            for r, (edges, log_p, _) in enumerate(found, 1):
-                ids = lat.token_ids(edges)
-                row = (key, r, len(ids), log_p, inclusion(log_p, kappa))
-                row += (zlib.crc32(ids.tobytes()), lat.joined(ids) == whole if whole else lat.decode(ids) == text) if digest else (ids.astype(np.int32),)
-                for name, v in zip(out, row):
-                    out[name].append(v)
+        seeds = row_keys(keys, seed)
+        for i, j, nodes in lat.groups(lat.segments(texts)):
+            found, kappas = sample_batch(lat, nodes, seeds[i:j], k)
+            for key, text, paths, kappa in zip(keys[i:j], texts[i:j], found, kappas.tolist()):
+                whole = (BLANK + text.replace(" ", BLANK)).encode("utf-8", "surrogatepass") if digest and text and BLANK not in text else None
+                for r, (edges, log_p, _) in enumerate(paths, 1):
+                    ids = lat.token_ids(edges)
+                    row = (key, r, len(ids), log_p, inclusion(log_p, kappa))
+                    row += (zlib.crc32(ids.tobytes()), lat.joined(ids) == whole if whole else lat.decode(ids) == text) if digest else (ids.astype(np.int32),)
+                    for name, v in zip(out, row):
+                        out[name].append(v)
         return out
 
     last = "ids_crc32 long, round_trip boolean" if digest else "ids array<int>"

@@ -118,8 +118,7 @@ def all_paths(lat, starts):
             edges, node, lp = todo.pop()
             e = int(lat.first_edge[node])
             while True:
-                p, step = float(lat.prob[e]), int(lat.step[e])
-                nxt = (*edges, e), lp + math.log(p)
+                nxt, step = ((*edges, e), lp + float(lat.logp[e])), int(lat.step[e])
                 found.append(nxt) if not step else todo.append((nxt[0], node + step, nxt[1]))
                 if lat.cum[e] > 1.5:
                     break
