@@ -5,8 +5,8 @@ of a document's words in content lines decides whether it is kept.
 
 The field is trained here. Labels are per document, so line labels are found in two rounds: lines of low-quality
 documents start as boilerplate, a logistic model relabels them, then the chain is fitted to the relabelled sequences.
-Training reads at most ``TRAIN_DOCS`` labelled documents, those with the smallest hash of doc_id; where there are no
-labels of both kinds, documented default weights hold.
+Training reads at most ``TRAIN_DOCS`` labelled documents of at most ``TRAIN_LINES`` lines, those with the smallest hash
+of doc_id; where there are no labels of both kinds, documented default weights hold.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_cache, map_rows, mix, only, text_batches
+from .common import discard, documents, drop_cache, map_rows, mix, only, text_batches, written
 
-#: Bound of the labelled sample that the field is fitted on.
-TRAIN_DOCS = 1500
+#: Bounds of the labelled sample that the field is fitted on: documents, and lines of all of them.
+TRAIN_DOCS, TRAIN_LINES = 1500, 400_000
+#: Lines of a block of a sequence, see :class:`_Blocks`.
+CHAIN_BLOCK = 128
 #: A document is kept if at least this share of its words is in content lines.
 MIN_CONTENT = 0.5
 
@@ -82,56 +84,106 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 2
     return w
 
 
+class _Blocks:
+    """Sequences cut into blocks of at most ``CHAIN_BLOCK`` lines, for forward and backward sums of the two-label chain.
+
+    Lines are held once, in their order; the sums go through all blocks at a time, line by line, and then from block to
+    block. So memory follows the number of lines, and steps that of a block's lines and of the longest text's blocks.
+    """
+
+    def __init__(self, sizes: np.ndarray):
+        begin = np.cumsum(sizes) - sizes
+        count = -(-sizes // CHAIN_BLOCK)
+        self.seq = np.repeat(np.arange(len(sizes)), count)
+        nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        self.start = begin[self.seq] + nth * CHAIN_BLOCK
+        self.size = np.minimum(CHAIN_BLOCK, sizes[self.seq] - nth * CHAIN_BLOCK)
+        self.steps = [np.flatnonzero(self.size > t) for t in range(CHAIN_BLOCK)]
+        self.steps = [on for on in self.steps if len(on)]
+        self.chained = [np.flatnonzero(nth == r) for r in range(1, int(count.max()))]  # the blocks that follow their r-th
+
+    def sums(self, e: np.ndarray, stay: float) -> tuple[np.ndarray, np.ndarray]:
+        """Log forward and backward sums (line, label) for emission scores ``e`` of boilerplate."""
+        trans, n = np.array([[stay, 0.0], [0.0, stay]]), len(self.start)
+        gain = lambda i: np.stack([np.zeros(len(i)), e[i]], 1)
+        # What a block does to the label before it: m[i, j], from label i before it to j at its last line.
+        m = np.zeros((n, 2, 2))
+        for t, on in enumerate(self.steps):
+            g = gain(self.start[on] + t)[:, None, :]
+            m[on] = (trans + g) if not t else np.logaddexp(m[on][:, :, :1] + trans[0], m[on][:, :, 1:] + trans[1]) + g
+        enter = np.full((n, 2), -np.logaddexp(stay, 0.0))  # before the first line: adds up to nothing for either label
+        leave = np.zeros((n, 2))
+        for on in self.chained:
+            enter[on] = np.logaddexp(enter[on - 1][:, :1] + m[on - 1][:, 0], enter[on - 1][:, 1:] + m[on - 1][:, 1])
+        for on in self.chained[::-1]:
+            leave[on - 1] = np.logaddexp(m[on][:, :, 0] + leave[on][:, :1], m[on][:, :, 1] + leave[on][:, 1:])
+        alpha, beta = np.empty((len(e), 2)), np.empty((len(e), 2))
+        for t, on in enumerate(self.steps):
+            i = self.start[on] + t
+            was = enter[on] if not t else alpha[i - 1]
+            alpha[i] = np.logaddexp(was[:, :1] + trans[0], was[:, 1:] + trans[1]) + gain(i)
+        beta[self.start + self.size - 1] = leave
+        for t in range(len(self.steps) - 1, 0, -1):
+            i = self.start[self.steps[t]] + t
+            nxt = beta[i] + gain(i)
+            beta[i - 1] = np.logaddexp(nxt[:, :1] + trans[:, 0], nxt[:, 1:] + trans[:, 1])
+        return alpha, beta
+
+
 def fit_chain(seqs: list[np.ndarray], labels: list[np.ndarray], l2: float = 1e-3, rounds: int = 150, rate: float = 0.2) -> tuple[np.ndarray, float]:
-    """Emission weights and the stay score of the two-label chain, by gradient ascent (Adam) on the conditional likelihood."""
-    order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
-    seqs, labels = [seqs[i] for i in order], [labels[i] for i in order]
-    n, most, d = len(seqs), len(seqs[0]), len(FEATURES)
-    alive = np.array([sum(len(s) > t for s in seqs) for t in range(most)])
-    x, y = np.zeros((most, n, d)), np.zeros((most, n))
-    for i, (s, lab) in enumerate(zip(seqs, labels)):
-        x[: len(s), i], y[: len(s), i] = s, lab
-    mask = np.arange(n)[None, :] < alive[:, None]
-    total = mask.sum()
-    seen_x = np.einsum("tn,tnd->d", y * mask, x)
-    seen_stay = ((y[1:] == y[:-1]) & mask[1:]).sum()
+    """Emission weights and the stay score of the two-label chain, by gradient ascent (Adam) on the conditional likelihood.
+
+    Empty sequences say nothing and are left out; there must be one that is not.
+    """
+    kept = [i for i, s in enumerate(seqs) if len(s)]
+    x, y = np.concatenate([seqs[i] for i in kept]), np.concatenate([labels[i] for i in kept])
+    sizes = np.array([len(seqs[i]) for i in kept])
+    blocks, d, total = _Blocks(sizes), x.shape[1], len(y)
+    first = np.zeros(total, bool)
+    first[np.cumsum(sizes) - sizes] = True
+    at = np.flatnonzero(~first)  # lines with one before them
+    seen_x, seen_stay = y @ x, float((y[at] == y[at - 1]).sum())
+    last = np.repeat(np.cumsum(sizes) - 1, sizes)
     theta, m, v = np.concatenate([DEFAULT[0] * 0.1, [0.1]]), np.zeros(d + 1), np.zeros(d + 1)
     for r in range(1, rounds + 1):
         w, stay = theta[:d], theta[d]
-        e = np.stack([np.zeros((most, n)), x @ w], 2)
-        trans = np.array([[stay, 0.0], [0.0, stay]])
-        alpha = e.copy()
-        for t in range(1, most):
-            k = alive[t]
-            alpha[t, :k] += np.logaddexp(alpha[t - 1, :k, :1] + trans[0], alpha[t - 1, :k, 1:] + trans[1])
-        beta = np.zeros((most, n, 2))
-        for t in range(most - 2, -1, -1):
-            k = alive[t + 1]
-            nxt = beta[t + 1, :k] + e[t + 1, :k]
-            beta[t, :k] = np.logaddexp(nxt[:, :1] + trans[:, 0], nxt[:, 1:] + trans[:, 1])
-        z = np.logaddexp(*np.moveaxis(alpha[0] + beta[0], 1, 0))
-        p = np.exp(alpha[..., 1] + beta[..., 1] - z) * mask
-        both = alpha[:-1, :, :, None] + trans + (e[1:] + beta[1:])[:, :, None, :] - z[None, :, None, None]
-        same = np.exp(np.minimum(both[..., 0, 0], 0)) + np.exp(np.minimum(both[..., 1, 1], 0))
-        g = np.concatenate([seen_x - np.einsum("tn,tnd->d", p, x), [seen_stay - (same * mask[1:]).sum()]]) / total - l2 * theta
+        e = x @ w
+        alpha, beta = blocks.sums(e, stay)
+        z = np.logaddexp(alpha[last, 0], alpha[last, 1])
+        p = np.exp(alpha[:, 1] + beta[:, 1] - z)
+        both = alpha[at - 1] + stay + np.stack([np.zeros(len(at)), e[at]], 1) + beta[at] - z[at, None]
+        g = np.concatenate([seen_x - p @ x, [seen_stay - np.exp(np.minimum(both, 0)).sum()]]) / total - l2 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-9)
     return theta[:d], float(theta[d])
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> tuple[np.ndarray, float]:
     """Fit the field on the labelled sample. ``labels`` has doc_id and quality; rows with a null in either, or with both
-    values for one doc_id, are left out."""
+    values for one doc_id, are left out.
+
+    The sample is the ``bound`` labelled documents with the smallest hash of doc_id, less those that would bring the lines
+    read above ``lines``, in that order; its texts are read whole. Of rows that share a doc_id the text that sorts first
+    counts. Null and empty texts say nothing. Without lines of both kinds, as for empty tables, ``DEFAULT`` is returned.
+    """
     given = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2"))
     sample = given.where("q = q2").orderBy(mix(F.col("doc_id"), 11), "doc_id").limit(bound)
-    text = only(docs, "doc_id", "text").join(F.broadcast(sample.select("doc_id", "q")), "doc_id")
+    found = only(docs, "doc_id", "text").join(F.broadcast(sample.select("doc_id", F.col("q").cast("int").alias("q"))), "doc_id")
+    text = written(found.groupBy("doc_id", "q").agg(F.min("text").alias("text")), "quality-sample")  # at most ``bound`` rows
+    sizes = text.select("doc_id", mix(F.col("doc_id"), 11).alias("h"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n")).collect()
+    picked, room = [], lines
+    for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
+        if r.n <= room:
+            picked.append((r.doc_id,))
+            room -= r.n
+    chosen = text.join(F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long")), "doc_id")
 
     def run(b: pa.RecordBatch) -> dict:
         feats = [line_features(t or "")[0] for t in b.column("text").to_pylist()]
         return {"doc_id": b.column("doc_id"), "q": b.column("q"), "x": [f.astype("<f8").tobytes() for f in feats]}
 
-    rows = map_rows(text.select("doc_id", "text", F.col("q").cast("int").alias("q")), run, "doc_id long, q int, x binary").collect()
-    rows = sorted(((r.doc_id, bytes(r.x), r.q) for r in rows))
+    rows = sorted(((r.doc_id, bytes(r.x), r.q) for r in map_rows(chosen.select("doc_id", "text", "q"), run, "doc_id long, q int, x binary").collect()))
+    discard(text)
     seqs = [np.frombuffer(x, "<f8").reshape(-1, len(FEATURES)) for _, x, _ in rows]
     bad = [q == 0 for *_, q in rows]
     seqs, bad = zip(*[(s, b) for s, b in zip(seqs, bad) if len(s)]) if any(map(len, seqs)) else ((), ())
@@ -198,7 +250,11 @@ def quality(docs: DataFrame, model: tuple[np.ndarray, float], min_content: float
 
 
 def keep(docs: DataFrame, model: tuple[np.ndarray, float], min_content: float = MIN_CONTENT) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality` would keep, with all their columns."""
+    """The rows of ``docs`` that :func:`quality` would keep, with all their columns.
+
+    Null and empty texts go; repeated rows stay or go together; a share of exactly ``min_content`` stays. A null doc_id is
+    one more value. An empty table stays empty.
+    """
     text_batches(docs.sparkSession)
 
     def run(batches):
@@ -210,5 +266,6 @@ def keep(docs: DataFrame, model: tuple[np.ndarray, float], min_content: float =
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every whole document, by a field fitted on a bounded sample of the labelled ones."""
     docs = documents(spark, sf_dir)
     return quality(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
