@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, drop_cache, map_rows, only
+from .common import documents, drop_cache, map_rows, only, text_batches
 
 TOP = 300
+#: Counts that a learning task holds before it passes them on.
+HELD = 2_000_000
 _other = re.compile(r"[\W\d_]+")
 _BITS = 21
 
@@ -45,11 +47,12 @@ def profile(codes: np.ndarray, counts: np.ndarray, top: int = TOP) -> np.ndarray
 def learn(docs: DataFrame, top: int = TOP) -> dict[str, np.ndarray]:
     """Language profiles from all rows of ``docs`` (text, lang) with a language and a letter.
 
-    Each task adds its n-grams' counts up before the shuffle; what reaches the driver is ``top`` rows a language.
+    Each task adds its n-grams' counts up before the shuffle, and passes them on whenever ``HELD`` are held, so its memory
+    does not follow its rows; what reaches the driver is ``top`` rows a language. Repeated rows count as often as they
+    come; ties go to the smaller code; very long texts count whole. Other columns are ignored. Nothing to learn from
+    gives no profiles.
     """
     src = only(docs.where("lang is not null and text is not null"), "text", "lang")
-    from .common import text_batches
-
     text_batches(src.sparkSession)
 
     def run(batches):
@@ -57,11 +60,13 @@ def learn(docs: DataFrame, top: int = TOP) -> dict[str, np.ndarray]:
         held: dict[str, list] = {}
         size = 0
 
-        def flush():
+        def out():
             for lang, parts in held.items():
                 codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
-                held[lang] = [(codes, n)]
+                for k in range(0, len(codes), 50_000):
+                    part = codes[k : k + 50_000]
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(part)), "code": pa.array(part), "n": pa.array(n[k : k + 50_000])})
 
         for b in batches:
             for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
@@ -69,14 +74,10 @@ def learn(docs: DataFrame, top: int = TOP) -> dict[str, np.ndarray]:
                 if len(codes):
                     held.setdefault(lang, []).append((codes, n))
                     size += len(codes)
-            if size > 2_000_000:
-                flush()
-                size = sum(len(p[0][0]) for p in held.values()) // 2
-        flush()
-        for lang, [(codes, n)] in held.items():
-            for k in range(0, len(codes), 50_000):
-                part = codes[k : k + 50_000]
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(part)), "code": pa.array(part), "n": pa.array(n[k : k + 50_000])})
+                if size > HELD:
+                    yield from out()
+                    held, size = {}, 0
+        yield from out()
 
     counts = src.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
@@ -91,7 +92,8 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP, ex
     """doc_id, ``extra`` columns, lang_pred and score (1 less the distance as a share of the largest possible).
 
     Null texts, texts without a letter, and all texts where nothing was learned give ``und`` with score 0. Ties between
-    languages go to the first by name.
+    languages go to the first by name. Repeated rows each give a row; a null doc_id stays null; texts count whole. Columns
+    beyond doc_id, text and ``extra`` are ignored, whatever their names. An empty table gives an empty result.
     """
     langs = list(profiles)
     every = np.unique(np.concatenate([*profiles.values(), np.zeros(0, np.int64)]))
@@ -121,6 +123,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP, ex
 
 
 def op9_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole document, by profiles of those that are not held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 3 == 1).alias("held_out"))
     return predict(docs, learn(docs.where("not held_out")), extra=("held_out",))
 
