@@ -20,17 +20,23 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, tokenizer_path
-from .common import documents, map_rows, new_dir, only, text_batches, written
+from .common import discard, documents, map_rows, new_dir, only, text_batches, written
+
+#: Bytes of text for a file, each document counting ``ROW_BYTES`` more, so that no file has too many small ones.
+FILE_BYTES, ROW_BYTES = 128 << 20, 64
+#: Parts of a file that long documents count by, see :func:`plan_files`, and files of one block of running sums.
+FINE, FILE_BLOCK = 256, 4096
 
 _SKIP, _TABLE, _FOOT = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
@@ -97,12 +103,14 @@ class TokenFile:
         return np.frombuffer(raw, "<u2" if self.width == 2 else "<u4").astype("<u4")
 
 
-def encode_frames(docs: DataFrame, path: str, eos: int | None, width: int, add_range) -> DataFrame:
+def encode_frames(docs: DataFrame, path: str, eos: int | None, width: int, files: "Files") -> DataFrame:
     """doc_id, number of ids, raw bytes, checksum, compressed frame and file number of each document; null texts count as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(files)
 
     def run(b: pa.RecordBatch) -> dict:
         enc, tail = encoder(path), b"" if eos is None else struct.pack("<I", eos)
-        out: dict[str, list] = {"doc_id": b.column("doc_id"), "n": [], "raw": [], "sum": [], "frame": []}
+        place = shared.value.of(b.column("place").to_numpy(), b.column("h").to_numpy())
+        out: dict[str, list] = {"doc_id": b.column("doc_id"), "n": [], "raw": [], "sum": [], "frame": [], "range": place.tolist()}
         for ids in enc.encode([t or "" for t in b.column("text").to_pylist()]):
             ids += tail
             raw = np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
@@ -110,42 +118,66 @@ def encode_frames(docs: DataFrame, path: str, eos: int | None, width: int, add_r
             out["raw"].append(len(raw))
             out["sum"].append(xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF)
             out["frame"].append(frame(ids, width))
-        return add_range(b, out)
+        return out
+
+    given = docs.select("doc_id", "text", _place().alias("place"), F.xxhash64("text").alias("h"))
+    return map_rows(given, run, "doc_id long, n long, raw long, sum long, frame binary, range int", keeps_cache=True)
+
+
+def _place():
+    """Where a document stands in the order of the files: null ids first."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+
 
-    return map_rows(only(docs, "doc_id", "text"), run, "doc_id long, n long, raw long, sum long, frame binary, range int", keeps_cache=True)
+@dataclass
+class Files:
+    """Which file a document goes to: ``edges`` (ascending, an id more than once where its rows fill several files) cut
+    the order of ids, and rows of such an id are dealt out over its files by a hash of their text."""
 
+    edges: np.ndarray
 
-def doc_id_edges(docs: DataFrame, n_files: int) -> np.ndarray:
-    """Where files begin: quantiles of doc_id from a mergeable sketch of that column alone, so that ranges are about even."""
-    probs = [i / n_files for i in range(1, n_files)]
-    got = docs.where("doc_id is not null").select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", probs, 0.2 / n_files) if probs else []
-    return np.unique(np.array(got, np.float64).astype(np.int64))
+    def of(self, place: np.ndarray, h: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.edges, place, "left"), np.searchsorted(self.edges, place, "right")
+        return np.where(hi > lo, lo + 1 + h % np.maximum(hi - lo, 1), hi)
 
 
-def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = None, eos: int | None = 2, files: int | None = None) -> DataFrame:
+def plan_files(docs: DataFrame, file_bytes: int = FILE_BYTES, files: int | None = None) -> Files:
+    """Files of about ``file_bytes`` of text each, or at most ``files`` of about the same size.
+
+    The edges are quantiles of doc_id, weighted by bytes, from a mergeable sketch: a row stands in it once for every
+    ``1 / FINE`` of a file that it fills, rounded at random. What reaches the driver is a number for each file.
+    """
+    sizes = written(docs.select(_place().alias("place"), (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("n")), "token-sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_files = files or max(1, -(-total // file_bytes))
+    part = max(1, total // (n_files * FINE))
+    each = sizes.select(F.col("place").cast("double").alias("x"), F.floor(F.col("n") / part + F.rand(5)).cast("int").alias("times")).where("times > 0")
+    each = each.select("x", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    got = each.approxQuantile("x", [i / n_files for i in range(1, n_files)], 0.1 / n_files) if total and n_files > 1 else []
+    discard(sizes)
+    return Files(np.sort(np.clip(np.array(got, np.float64), -(2.0**63), 2.0**63 - 1024).astype(np.int64)))
+
+
+def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = None, eos: int | None = 2, files: int | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write them to files in ascending doc_id order; returns one row per file.
 
+    The number of files follows the text (``file_bytes`` each, see :func:`plan_files`), or is at most ``files``.
     Documents are encoded and compressed where they are read, and the small frames, not texts, are dealt out by ranges
     of doc_id. A range's file is written below a name of its own and renamed when whole, so a task that runs again, after
-    a lost executor, replaces it. Null doc_ids come first; rows with one doc_id follow one another by content.
-    No rows: no files.
+    a lost executor, replaces it. Null doc_ids come first; rows with one doc_id follow one another in an order that
+    follows from their content, also over several files. Rows that are equal in both are in one file. Very long texts are
+    one frame of up to 2**32 - 1 bytes. Other columns are ignored. No rows: no files.
 
     Columns: part, file, n_docs, n_tokens.
     """
-    spark = docs.sparkSession
     path = tokenizer or tokenizer_path()
     from tokenizers import Tokenizer
 
     width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), (eos or 0) + 1) <= 1 << 16 else 4
-    n_files = files or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    edges = doc_id_edges(docs, n_files)
-
-    def add_range(b: pa.RecordBatch, out: dict) -> dict:
-        ids = b.column("doc_id")
-        return out | {"range": np.where(ids.is_null().to_numpy(False), 0, np.searchsorted(edges, ids.fill_null(0).to_numpy(), "right")).tolist()}
-
-    frames = encode_frames(docs, path, eos, width, add_range)
-    dealt = frames.repartition(n_files, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "n", "sum", "raw")
+    docs = only(docs, "doc_id", "text")
+    plan = plan_files(docs, file_bytes, files)
+    frames = encode_frames(docs, path, eos, width, plan)
+    dealt = frames.repartition(len(plan.edges) + 1, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "n", "sum", "raw")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = _fs(out_dir)
@@ -188,17 +220,15 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = Non
 def read_token_files(files: DataFrame) -> DataFrame:
     """Documents of the files that :func:`write_token_files` lists: doc_id, start, n_tokens, ids_crc32, with one task per file.
 
-    ``start`` counts the ids of all documents before, over all files.
+    ``start`` counts the ids of all documents before, over all files: sums within blocks of files, then over the blocks'
+    totals. No files give no rows.
     """
-    spark = files.sparkSession
-    rows = sorted(files.select("part", "file", "n_tokens").collect())  # one small row per file
-    starts, at = [], 0
-    for part, file, n in rows:
-        starts.append((part, file, at))
-        at += n
-    text_batches(spark)
-    listed = spark.createDataFrame(starts, "part int, file string, at long")
-    listed = listed.repartition(max(1, len(starts)), "part") if starts else listed
+    text_batches(files.sparkSession)
+    f = files.select("part", "file", "n_tokens", F.floor(F.col("part") / FILE_BLOCK).alias("block"))
+    blocks = f.groupBy("block").agg(F.sum("n_tokens").alias("n"))
+    blocks = blocks.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    listed = f.join(blocks, "block").select("part", "file", (F.col("before") + own).alias("at")).repartition(max(1, files.count()), "part")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
