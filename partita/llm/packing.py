@@ -5,8 +5,11 @@ clusters that it holds. A piece goes into the bin with the least free room that
 cluster with it: the search begins at the tightest bin that has room and goes on to its successors until one is
 compatible; if none is, a new bin opens.
 
-Pieces are packed longest first, in shards. A shard is a bounded number of documents, dealt out by a hash of doc_id, so
-no source or cluster is in one task; within a shard the result is exactly that of best-fit with these conflicts.
+Pieces are packed longest first, in shards. A shard is a bounded number of documents, dealt out by a hash of the row's
+place in the written table of lengths, so no source, cluster or group of repeated rows is in one task; within a shard the
+result is exactly that of best-fit with these conflicts.
+
+Clusters are the caller's, as by :func:`partita.llm.ngram_join.components`; by default equal texts are one cluster.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ def pack(pieces: Iterable[tuple[int, int, int]], capacity: int) -> list[int]:
 
     Sources and clusters are small numbers: each is a bit of a bin's two bitmaps. Of equally tight bins the oldest wins.
 
-    Successors are searched by blocks: bins with room are kept by (free, number), and per source those that already hold
-    it are passed over by their bitmap alone.
+    Open bins are kept by (free, number). Bisection finds the tightest with room; from there the walk goes on, bin by bin,
+    as far as bitmaps conflict, at most over the bins of a shard.
     """
     open_bins: list[tuple[int, int]] = []  # (free, number), ascending
     sources: list[int] = []
@@ -68,13 +71,15 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_
 
     A document longer than the capacity is cut into whole bins of its own and one remaining piece. Documents without
     tokens, or with a null length, get one piece of length 0 in no bin (bin_id null). A null source or cluster conflicts
-    with nothing. Repeated rows are documents of their own; a null doc_id is packed like any other. bin_id is
-    ``shard:bin``; whole-bin pieces have bins of their own. An empty table gives an empty result.
+    with nothing. Repeated rows are documents of their own, spread over the shards; a null doc_id is packed like any
+    other. Documents of one length are packed by doc_id, null last. bin_id is ``shard:bin``; whole-bin pieces have bins of
+    their own. Other columns are ignored. An empty table gives an empty result. ``docs`` should be a stored table: a
+    row's shard follows from its place there.
     """
     n = docs.count()
     shards = max(1, math.ceil(n / shard_docs))
     d = docs.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster"))
-    d = d.withColumn("shard", F.pmod(mix(F.struct("doc_id", "cluster", "n_tokens"), 17), F.lit(shards)).cast("int"))
+    d = d.withColumn("shard", F.pmod(mix(F.monotonically_increasing_id(), 17), F.lit(shards)).cast("int"))
     out = T.StructType.fromDDL("doc_id long, piece int, piece_tokens long, shard int, bin long")
 
     def run(key, pdf):
@@ -118,12 +123,21 @@ def duplicate_cluster(text):
     return F.when(F.length(F.trim(text)) > 0, F.md5(text))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, memo_chunks: int = MEMO_CHUNKS) -> DataFrame:
-    """Encode ``docs`` (doc_id, text, source) with an end id each and pack them; other columns are ignored."""
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, memo_chunks: int = MEMO_CHUNKS, clusters: DataFrame | None = None) -> DataFrame:
+    """Encode ``docs`` (doc_id, text, source) with an end id each and pack them; other columns are ignored.
+
+    ``clusters`` (doc_id, component_id) gives duplicate clusters; documents that it lacks, or has with a null, conflict
+    with no cluster, and of several rows for a doc_id the smallest component counts. Without it equal texts are one
+    cluster. Null and empty texts have the end id alone and no cluster.
+    """
     keyed = docs.select("doc_id", "text", "source", duplicate_cluster(F.col("text")).alias("cluster"))
     lengths = written(token_lengths(keyed, extra=1, keep=("doc_id", "source", "cluster"), memo_chunks=memo_chunks), "packing-lengths")
+    if clusters is not None:
+        given = clusters.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").cast("string").alias("cluster"))
+        lengths = written(lengths.drop("cluster").join(given, "doc_id", "left"), "packing-clusters")
     return best_fit(lengths, capacity, shard_docs)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document's place in a bin; equal texts are one cluster."""
     return pack_documents(documents(spark, sf_dir))
