@@ -5,6 +5,12 @@ the first ``LEADING`` tokens. In a leaf whose lines differ, each position keeps
 lines (weighted by documents) have it there, and becomes ``<*>`` if not. A line whose tokens after the leading ones agree
 with that template on at least ``SIMILARITY`` of the positions belongs to it; any other is a template of its own.
 
+A leaf generalises to one template at most: where no token has more than half of the weight at any position, as with two
+templates of equal weight in one leaf, its lines stay templates of their own.
+
+Whole texts and lines are told apart by two 64-bit hashes of different seeds together, as lines at full scale are too many
+for one. A leaf is one such hash: leaves that collide lose at most their general template.
+
 A template that ``MIN_DOCS`` different texts share is recurring. Its lines are dropped from all documents but the one with
 the smallest doc_id (and exact copies of that one, which are left to document dedup), so that no content is lost.
 """
@@ -38,12 +44,17 @@ def _masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
 
 
+def _identity(c: Column) -> Column:
+    """128 bits that stand for a value."""
+    return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, th (stands for the whole text), pos, line (spaced) and leaf of each line with a token.
 
     The number of tokens and the leading ones are found without splitting the line.
     """
-    base = only(docs, "doc_id", "text").where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    base = only(docs, "doc_id", "text").where("text is not null").select("doc_id", _identity(F.col("text")).alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = base.where(_bare(F.col("line")) != "").select("doc_id", "th", "pos", _spaced(F.col("line")).alias("line"))
     blanks = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
     return lines.withColumn("leaf", F.xxhash64(blanks, _masked(F.split(F.substring_index("line", " ", LEADING), " "))))
@@ -55,7 +66,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     leaves = lines.select("leaf", "th").distinct().groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs).select("leaf")
     leaves = written(leaves, "line-leaves")
     masked = lines.join(small(leaves), "leaf").select("doc_id", "th", "pos", "leaf", _masked(F.split("line", " ")).alias("tokens"))
-    found = written(masked.select("doc_id", "th", "pos", "leaf", F.xxhash64("tokens").alias("line"), F.transform(F.slice("tokens", F.lit(LEADING + 1), F.size("tokens")), lambda t: F.xxhash64(t)).alias("tail")), "line-found")
+    found = written(masked.select("doc_id", "th", "pos", "leaf", _identity(F.col("tokens")).alias("line"), F.transform(F.slice("tokens", F.lit(LEADING + 1), F.size("tokens")), lambda t: F.xxhash64(t)).alias("tail")), "line-found")
     discard(leaves)
 
     forms = found.groupBy("leaf", "line", "th").agg(F.first("tail").alias("tail")).groupBy("leaf", "line").agg(F.count("*").alias("w"), F.first("tail").alias("tail"))
@@ -68,7 +79,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     # Written first: a line that a third of all documents has is then split by the skew join, or not shuffled at all.
     agree = written(agree.select("leaf", "line", F.lit(True).alias("general")), "line-agree")
     placed = found.select("doc_id", "th", "pos", "leaf", "line").join(small(agree), ["leaf", "line"], "left")
-    named = placed.select("doc_id", "th", "pos", F.when(F.col("general"), F.xxhash64("leaf", F.lit("leaf"))).otherwise(F.col("line")).alias("template"))
+    named = placed.select("doc_id", "th", "pos", F.when(F.col("general"), F.struct(F.col("leaf").alias("a"), F.lit(0).cast("long").alias("b"))).otherwise(F.col("line")).alias("template"))
     named = written(named, "line-named")
     discard(forms, found, agree, several)
 
@@ -86,7 +97,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = S
     Other columns pass through, but for ones that are themselves called n_lines or n_dropped, which are replaced.
     """
     drops = written(recurring_lines(docs, min_docs, similarity), "line-drops").select(F.col("doc_id").alias("_lt_doc"), F.col("th").alias("_lt_th"), F.col("drop").alias("_lt_drop"))
-    joined = docs.join(small(drops), F.col("doc_id").eqNullSafe(F.col("_lt_doc")) & (F.xxhash64("text") == F.col("_lt_th")), "left")
+    joined = docs.join(small(drops), F.col("doc_id").eqNullSafe(F.col("_lt_doc")) & (_identity(F.col("text")) == F.col("_lt_th")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("_lt_drop", F.array().cast("array<int>")), i))
     text = F.when(F.col("_lt_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
@@ -108,7 +119,7 @@ WITH lines AS (
   FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL), range(1, len(parts) + 1) r(i)),
 masked AS (SELECT doc_id, text, pos, list_transform(tok, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tok FROM lines WHERE tok[1] <> ''),
 placed AS (SELECT *, [len(tok)::VARCHAR] || tok[1:3] AS leaf FROM masked),
-leaves AS (SELECT leaf FROM placed GROUP BY leaf HAVING count(DISTINCT text) >= 3),
+leaves AS (SELECT leaf FROM placed GROUP BY leaf HAVING count(DISTINCT text) >= 2),
 found AS (SELECT p.* FROM placed p JOIN leaves USING (leaf)),
 forms AS (SELECT leaf, tok, count(DISTINCT text) AS w FROM found GROUP BY leaf, tok),
 several AS (SELECT leaf, sum(w) AS every FROM forms GROUP BY leaf HAVING count(*) > 1),
@@ -116,7 +127,7 @@ spread AS (SELECT leaf, tok, w, every, i AS spot, tok[i] AS token FROM (SELECT *
 constant AS (SELECT leaf, spot, token FROM spread GROUP BY leaf, spot, token, every HAVING 2 * sum(w) > every),
 agree AS (SELECT leaf, tok FROM spread JOIN constant USING (leaf, spot, token) GROUP BY leaf, tok HAVING count(*) >= 0.6::DOUBLE * (len(tok) - 3)),
 named AS (SELECT f.doc_id, f.text, f.pos, CASE WHEN a.leaf IS NULL THEN ['line'] || f.tok ELSE ['leaf'] || f.leaf END AS template FROM found f LEFT JOIN agree a ON f.leaf = a.leaf AND f.tok = a.tok),
-often AS (SELECT template, arg_min(text, doc_id) AS keeper FROM named GROUP BY template HAVING count(DISTINCT text) >= 3),
+often AS (SELECT template, arg_min(text, doc_id) AS keeper FROM named GROUP BY template HAVING count(DISTINCT text) >= 2),
 dropped AS (SELECT DISTINCT doc_id, pos FROM named JOIN often USING (template) WHERE text <> keeper),
 rest AS (SELECT l.doc_id, count(d.pos) AS n_dropped, coalesce(string_agg(CASE WHEN d.pos IS NULL THEN l.part END, chr(10) ORDER BY l.pos), '') AS kept, count(*) AS n_lines
   FROM (SELECT doc_id, i - 1 AS pos, parts[i] AS part FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL), range(1, len(parts) + 1) r(i)) l
