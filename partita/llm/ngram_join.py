@@ -16,7 +16,10 @@ Links are found without emitting all pairs of a group:
 3. Round one pairs each class with one pivot per prefix token and band of sizes (the class that has the token earliest),
    filters, verifies, and takes connected components.
 4. Round two takes what is left, exactly: for each prefix token whose classes are in several components, pairs across
-   components, so that the members of one large component are never paired with each other.
+   components, so that the members of the largest one are never paired with each other. A set's position at a token tells
+   how large a partner may be. The smaller set of a pair goes to the size bands that it may reach, the larger one to its
+   own, and bands are join keys: texts that share a template but differ in more than the threshold allows meet nowhere.
+   A token and band with many pairs is dealt out over several tasks.
 
 A link between classes of different components would be found in round two, so components are exact.
 """
@@ -38,6 +41,8 @@ from .shingles import order_codes, shingle_set
 ORDERS = 3
 #: A token counts as frequent from this many documents on; this many of the most frequent ones are told to the tasks.
 FREQUENT, MOST_FREQUENT = 24, 1 << 18
+#: Pairs of rows of one token and band beyond which several tasks share them.
+PAIRS_A_TASK = 4_000_000
 
 
 def prefix_size(n: int, num: int, den: int) -> int:
@@ -119,6 +124,34 @@ def _may_link(num: int, den: int) -> str:
     return f"{den} * {both} >= {num} * (na + nb - {both})"
 
 
+def _size_band(n: str, num: int, den: int) -> str:
+    """A band of set sizes, rising with the size ``n``; a set reaches its partners' sizes over some five bands."""
+    return f"cast(floor(ln({n}) / {math.log1p((den / num - 1) / 4)!r}) as int)" if num < den else f"cast({n} as int)"
+
+
+def cross_pairs(rest: DataFrame, num: int, den: int, pairs_a_task: int = PAIRS_A_TASK) -> DataFrame:
+    """a, b and token of the pairs of different components that may link with ``token`` as their first common one.
+
+    ``rest`` has token, doc_id, n, pos, comp and in_main (whether comp is the token's largest one). A pair's smaller set
+    (ties: the smaller doc_id) is met in each band of sizes up to ``most``, the largest partner that its position allows.
+    """
+    most = f"cast(floor((n - pos) * {num + den} / {num}) as long) - n"
+    side = rest.withColumn("most", F.expr(most))
+    low = side.where("most >= n").withColumn("band", F.explode(F.sequence(F.expr(_size_band("n", num, den)), F.expr(_size_band("most", num, den)))))
+    high = side.withColumn("band", F.expr(_size_band("n", num, den)))
+    keys = ["token", "band"]
+    load = low.groupBy(*keys).agg(F.count("*").alias("x")).join(high.groupBy(*keys).agg(F.count("*").alias("y")), keys)
+    heavy = load.where(F.col("x") * F.col("y") > pairs_a_task).select(*keys, F.least(F.col("x"), F.ceil(F.col("x") * F.col("y") / pairs_a_task)).cast("int").alias("parts"))
+    heavy = small(written(heavy, "ngram-heavy"))
+    low = low.join(heavy, keys, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.lit(0)))
+    high = high.join(heavy, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
+    keys.append("salt")
+    x = low.select(*keys, F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ka"), F.col("in_main").alias("ma"))
+    y = high.select(*keys, F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("kb"), F.col("in_main").alias("mb"))
+    on = f"ka <> kb and (na < nb or na = nb and a < b) and {_may_link(num, den)}"
+    return x.where("not ma").join(y, keys).where(on).unionByName(x.where("ma").join(y.where("not mb"), keys).where(on)).select("a", "b", "token")
+
+
 def verify(pairs: DataFrame, table: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Of candidate pairs (a, b), those that pass every further order and whose whole sets reach num / den."""
     pairs = written(pairs, "ngram-pairs")
@@ -181,13 +214,11 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     placed = entries.join(one, entries.doc_id == one.v, "left").select("token", "doc_id", "n", "pos", F.coalesce("label", "doc_id").alias("comp"))
     tally = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
     main = tally.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("m.comp").alias("main"))
-    rest = placed.join(main, "token")
-    x = rest.where("comp <> main").select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ka"))
-    y = rest.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("kb"), (F.col("comp") == F.col("main")).alias("in_main"))
-    cross = x.join(y, "token").where(f"ka <> kb and (in_main or a < b) and {_may_link(num, den)}")
+    rest = written(placed.join(main, "token").select("token", "doc_id", "n", "pos", "comp", (F.col("comp") == F.col("main")).alias("in_main")), "ngram-rest")
+    cross = cross_pairs(rest, num, den)
     second = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = verify(second, table, docs, k, num, den)
-    discard(entries)
+    discard(entries, rest)
 
     members = named.join(classes, "set_key").select("doc_id", "class_id")
     twice = members.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("a", "b")
@@ -199,3 +230,18 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, similarity of at least 0.9, over every whole document."""
     return components(documents(spark, sf_dir), k=3, num=90, den=100)
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words),
+classes AS (SELECT min(doc_id) AS doc_id, s FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s),
+members AS (SELECT a.doc_id, c.doc_id AS class_id, len(a.s) AS n FROM sets a LEFT JOIN classes c ON list_sort(a.s) = c.s),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM classes),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+comps AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT m.doc_id, m.n AS n_shingles, coalesce(m.class_id, m.doc_id) AS class_id, coalesce(c.component_id, m.doc_id) AS component_id FROM members m LEFT JOIN comps c ON m.class_id = c.a
+"""

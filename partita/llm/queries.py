@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op9_rank_order_langid
-from . import line_template
+from . import line_template, ngram_join
 from .ann_scan import op4_adaptive_scan_ann
 from .line_template import op5_line_template_dedup
 from .ngram_join import op2_ngram_jaccard_join
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_template_dedup": line_template.ORACLE}
+    return {"op2_ngram_jaccard_join": ngram_join.ORACLE, "op5_line_template_dedup": line_template.ORACLE}
