@@ -327,8 +327,9 @@ def test_scan_abandons_early_and_keeps_the_best():
     b, q = rng.normal(size=(900, 64)), rng.normal(size=(5, 64))
     b[:5] = q + 0.2 * rng.normal(size=(5, 64))
     rot = np.linalg.qr(rng.normal(size=(64, 64)))[0]
-    i, j, s, read = ann_scan.scan_block(np.arange(900), b, np.arange(5000, 5005), q, 1, rot)
-    assert j.tolist() == list(range(5)) and read < 0.5 * 5 * 900 * 64
+    of = ann_scan.Vectors.of
+    i, j, s, read = ann_scan.scan_list(of(np.arange(900), b, rot), of(np.arange(5000, 5005), q, rot), 1)
+    assert i.tolist() == j.tolist() == list(range(5)) and read < 0.5 * 5 * 900 * 64
     assert s == pytest.approx([q[k] @ b[k] / np.linalg.norm(q[k]) / np.linalg.norm(b[k]) for k in range(5)])
 
 
