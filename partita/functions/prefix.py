@@ -1,33 +1,86 @@
-"""Running sums over a global order without a single-task window: value ranges, then offsets of the ranges' totals."""
+"""Global orders without a single-task window: ranges of about ``RANGE_ROWS`` rows, then offsets of the ranges' totals.
+
+Tables of at most that many rows are one range and cost one window. Larger ones are range-partitioned by (value, ties) and
+written once, so that all steps see the same ranges; a value that many rows share is split by its ties.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Value ranges that an order is split into.
-RANGES = 64
+from .lineage import cut_lineage
+
+#: Rows of one range, about: what one task orders.
+RANGE_ROWS = 1 << 18
 
 
-def value_ranges(df: DataFrame, by: str, ranges: int = RANGES) -> Column:
-    """The range, 0 to ``ranges``, that each row's ``by`` is in; rows with one value share a range."""
-    edges = df.approxQuantile(by, [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
-    if not edges:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col(by)))
+def _ranged(df: DataFrame, n: int, rows: int, by: Sequence[str]) -> DataFrame:
+    """``df`` with ``_range``: ascending ranges of about ``rows`` rows in the order of ``by``."""
+    return cut_lineage(df.repartitionByRange(math.ceil(n / rows), *by).withColumn("_range", F.spark_partition_id()))
 
 
-def running_sums(df: DataFrame, by: str, values: dict[str, str], keys: tuple[str, ...] = (), ties: tuple[str, ...] | None = None, ranges: int = RANGES) -> DataFrame:
+def running_sums(df: DataFrame, by: str, values: dict[str, str], keys: tuple[str, ...] = (), ties: tuple[str, ...] | None = None, rows: int | None = None) -> DataFrame:
     """``df`` with, for each ``{out: value}``, the sum of value over the rows of the same keys up to this one by ``by``.
 
     Rows with equal ``by`` get the sum at the end of their ties, or, if ``ties`` names columns, are ordered by these.
-    No task gets more than a range of the order.
+    No task orders more than about ``rows`` rows, whatever the keys and values; nulls come first.
     """
-    d = df.withColumn("_range", value_ranges(df, by, ranges))
+    rows = rows or RANGE_ROWS
+    n = df.count()
+    if n <= rows:
+        w = Window.partitionBy(*keys).orderBy(by, *(ties or ()))
+        w = w.rowsBetween(Window.unboundedPreceding, 0) if ties is not None else w.rangeBetween(Window.unboundedPreceding, 0)
+        return df.select(*(F.col(c) for c in df.columns), *(F.sum(v).over(w).alias(o) for o, v in values.items()))
+    if ties is None:  # a sum at the end of ties is one number a value
+        per = df.groupBy(*keys, by).agg(*(F.sum(v).alias(f"_v{i}") for i, v in enumerate(values.values())))
+        per = running_sums(per, by, {o: f"_v{i}" for i, o in enumerate(values)}, keys, (), rows)
+        per = per.select(*(F.col(c).alias(f"_k_{c}") for c in (*keys, by)), *values)
+        on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, by)]
+        return df.join(per, on).select(*(F.col(c) for c in df.columns), *values)
+    d = _ranged(df, n, rows, (by, *ties))
     sums = d.groupBy(*keys, "_range").agg(*(F.sum(v).alias(f"_sum_{o}") for o, v in values.items()))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "_range", *(F.coalesce(F.sum(f"_sum_{o}").over(earlier), F.lit(0)).alias(f"_off_{o}") for o in values))
-    w = Window.partitionBy(*keys, "_range").orderBy(by, *(ties or ()))
-    w = w.rowsBetween(Window.unboundedPreceding, 0) if ties is not None else w.rangeBetween(Window.unboundedPreceding, 0)
-    joined = d.join(offsets, [*keys, "_range"])
+    offsets = sums.select(*(F.col(c).alias(f"_k_{c}") for c in keys), F.col("_range").alias("_r"), *(F.coalesce(F.sum(f"_sum_{o}").over(earlier), F.lit(0)).alias(f"_off_{o}") for o in values))
+    w = Window.partitionBy(*keys, "_range").orderBy(by, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    joined = d.join(offsets, [F.col("_range") == F.col("_r"), *(F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys)])
     return joined.select(*(F.col(c) for c in df.columns), *((F.sum(v).over(w) + F.col(f"_off_{o}")).alias(o) for o, v in values.items()))
+
+
+def row_numbers(df: DataFrame, by: str, out: str, keys: tuple[str, ...] = (), ties: tuple[str, ...] = ("obs_id",)) -> DataFrame:
+    """``df`` with each row's number, from 1, among the rows of its keys."""
+    return running_sums(df.withColumn("_one", F.lit(1)), by, {out: "_one"}, keys, ties).drop("_one")
+
+
+def next_value(df: DataFrame, by: str, out: str, keys: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
+    """``df`` with the next larger ``by`` among the rows of the same keys, null at the last; (keys, ``by``) must be unique."""
+    rows = rows or RANGE_ROWS
+    n = df.count()
+    if n <= rows:
+        return df.withColumn(out, F.lead(by).over(Window.partitionBy(*keys).orderBy(by)))
+    d = _ranged(df, n, rows, (by,))
+    firsts = d.groupBy(*keys, "_range").agg(F.min(by).alias("_first"))
+    after = firsts.select(*(F.col(c).alias(f"_k_{c}") for c in keys), F.col("_range").alias("_r"), F.lead("_first").over(Window.partitionBy(*keys).orderBy("_range")).alias("_after"))
+    d = d.join(after, [F.col("_range") == F.col("_r"), *(F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys)])
+    inside = F.lead(by).over(Window.partitionBy(*keys, "_range").orderBy(by))
+    return d.select(*(F.col(c) for c in df.columns), F.coalesce(inside, F.col("_after")).alias(out))
+
+
+def percentiles(df: DataFrame, value: str, levels: Sequence[float], rows: int | None = None) -> DataFrame:
+    """One row, q: exact quantiles of a column by linear interpolation, nulls left out.
+
+    Up to ``rows`` values one aggregate holds them; beyond that they are counted, and found by their running counts.
+    """
+    d = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"))
+    n = d.count()
+    if n <= (rows or RANGE_ROWS):
+        return d.agg(F.percentile("_v", F.array(*map(F.lit, levels))).alias("q"))
+    c = running_sums(d.groupBy("_v").agg(F.count("*").alias("_n")), "_v", {"_c": "_n"}, ties=(), rows=rows)
+    at = [(n - 1) * q for q in levels]
+    nth = {i: F.min(F.when(F.col("_c") > i, F.col("_v"))) for i in sorted({f(h) for h in at for f in (math.floor, math.ceil)})}
+    found = c.agg(*(e.alias(f"_{i}") for i, e in nth.items()))
+    between = [F.col(f"_{math.floor(h)}") + (h - math.floor(h)) * (F.col(f"_{math.ceil(h)}") - F.col(f"_{math.floor(h)}")) for h in at]
+    return found.select(F.array(*between).alias("q"))

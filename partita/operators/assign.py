@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage, small
 from ..functions.prefix import running_sums
 from ..functions.rng import uniform
 
@@ -34,6 +35,25 @@ def assign_two(df: DataFrame, share: float, eps: float = 0.0, eta: float = 0.0)
     return d.select("obs_id", F.when(z >= 0.5, 1).otherwise(0).alias("fold"), z.alias("z1"))
 
 
+def assign_folds(df: DataFrame, r: Sequence[float], eps: float = 0.0, eta: float = 0.0) -> DataFrame:
+    """obs_id, fold for rows (obs_id, w, g): ``g`` is the cost of each fold. Two folds go by :func:`assign_two`. More are
+    filled from the last to the second, each by that among the rows that are left, at its cost over the cheapest fold
+    still open; the band is shared, so every fold stays within eps W of its share but for the last row's rounding."""
+    left, out = df.select("obs_id", "w", "g"), None
+    for f in range(len(r) - 1, 0, -1):
+        others = F.array_min(F.slice("g", 1, f))
+        d = left.withColumn("delta", F.col("g")[f] - others)
+        z = assign_two(d.select("obs_id", "w", "delta"), r[f] / sum(r[: f + 1]), eps / (len(r) - 1), eta).select("obs_id", "fold")
+        if f < len(r) - 1 or f > 1:
+            z = cut_lineage(z)
+        took = z.where("fold = 1").select("obs_id", F.lit(f).alias("fold"))
+        out = took if out is None else out.unionByName(took)
+        if f == 1:
+            return out.unionByName(z.where("fold = 0").select("obs_id", F.lit(0).alias("fold")))
+        left = cut_lineage(left.join(z.where("fold = 0").select("obs_id"), "obs_id"))
+    return df.select("obs_id", F.lit(0).alias("fold"))
+
+
 def round_by_confidence(z: DataFrame, r: Sequence[float]) -> DataFrame:
     """obs_id, fold from fractions ``z`` (array) of rows (obs_id, w, z): the largest, then one pass per ordered pair of
     folds that moves the least certain rows from the fold above its target to the one below, as few as cover the gap."""
@@ -97,9 +117,20 @@ def random_balanced(df: DataFrame, r: Sequence[float], seed: int = 42) -> DataFr
     return d.select("obs_id", fold.cast("int").alias("fold"))
 
 
+#: Groups that a sequential rule takes to the driver.
+MOST_GROUPS = 2_000_000
+
+
+def _counted(groups: DataFrame) -> None:
+    n = groups.count()
+    if n > MOST_GROUPS:
+        raise ValueError(f"{n} groups are packed one after another on the driver, which takes {MOST_GROUPS}: use baselines.group_skip or group_stop")
+
+
 def pack_groups(groups: DataFrame, r: Sequence[float]) -> list[tuple[object, int]]:
     """Folds of groups (group_id, mass): largest first, each into the fold farthest below its target. Sequential, on the
-    table of groups, which is to be small (families, not rows)."""
+    table of groups; raises ValueError for more than ``MOST_GROUPS``."""
+    _counted(groups)
     rows = sorted(((g.group_id, float(g.mass)) for g in groups.select("group_id", "mass").collect()), key=lambda x: (-x[1], str(x[0])))
     total = sum(m for _, m in rows)
     have, out = [0.0] * len(r), []
@@ -115,7 +146,7 @@ def pack_hierarchy(df: DataFrame, group: str, r: Sequence[float]) -> DataFrame:
     g = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("group_id")).agg(F.sum("w").alias("mass"))
     kind = g.schema["group_id"].dataType.simpleString()
     packed = df.sparkSession.createDataFrame(pack_groups(g, r), f"group_id {kind}, fold int")
-    return df.drop("fold").join(packed, F.col(group) == F.col("group_id"), "left").drop("group_id")
+    return df.drop("fold").join(small(packed), F.col(group) == F.col("group_id"), "left").drop("group_id")
 
 
 def hierarchy_value(members: DataFrame, edges: DataFrame, levels: DataFrame) -> DataFrame:
@@ -139,9 +170,10 @@ def hierarchy_gradient(members: DataFrame, edges: DataFrame, levels: DataFrame,
 
 def hierarchy_repair(df: DataFrame, group: str, r: Sequence[float], eps: float) -> DataFrame:
     """``df`` with split groups made whole in their majority fold, smallest escaping mass first, as long as that fold
-    keeps within (r + eps) W. Sequential on the split groups alone."""
+    keeps within (r + eps) W. Sequential on the split groups alone; raises ValueError for more than ``MOST_GROUPS``."""
     g = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("group_id"), "fold").agg(F.sum("w").alias("m"))
     split = g.join(g.groupBy("group_id").agg(F.count("*").alias("_k")).where("_k > 1"), "group_id", "left_semi")
+    _counted(split.select("group_id").distinct())
     total = {x.fold: x.m for x in df.groupBy("fold").agg(F.sum("w").alias("m")).collect()}
     by: dict = {}
     for x in split.collect():
@@ -157,7 +189,7 @@ def hierarchy_repair(df: DataFrame, group: str, r: Sequence[float], eps: float)
             moved.append((gid, int(to)))
     kind = g.schema["group_id"].dataType.simpleString()
     new = df.sparkSession.createDataFrame(moved, f"_g {kind}, _f int")
-    return df.join(F.broadcast(new), F.col(group) == F.col("_g"), "left").select(*(F.coalesce("_f", "fold").alias("fold") if c == "fold" else F.col(c) for c in df.columns))
+    return df.join(small(new), F.col(group) == F.col("_g"), "left").select(*(F.coalesce("_f", "fold").alias("fold") if c == "fold" else F.col(c) for c in df.columns))
 
 
 def swap_pairs(df: DataFrame, gains: DataFrame) -> DataFrame:

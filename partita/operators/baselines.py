@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage, small
 from ..functions.prefix import running_sums
 from ..functions.rng import hash_int
 from ..functions.vectors import sqdist
@@ -55,16 +56,21 @@ def group_stop(df: DataFrame, group: str, share: float = 0.8, order: str = "size
 
 
 def group_skip(df: DataFrame, group: str, share: float = 0.8) -> DataFrame:
-    """First-fit-decreasing: whole groups, largest first, train if they still fit. Sequential, on the table of groups."""
-    g = df.groupBy(group).agg(F.count("*").alias("n"))
-    rows = sorted(((x[group], x.n) for x in g.collect()), key=lambda x: (-x[1], str(x[0])))
-    most, have, out = share * sum(n for _, n in rows), 0, []
-    for name, n in rows:
-        fits = have + n <= most
-        have += n if fits else 0
-        out.append((name, 0 if fits else 1))
-    t = df.sparkSession.createDataFrame(out, f"_g {g.schema[group].dataType.simpleString()}, fold int")
-    return df.drop("fold").join(F.broadcast(t), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    """First-fit-decreasing: whole groups, largest first, then by name, train if they still fit.
+
+    Of groups of one size the first ones fit until one does not, so the sequential part runs over the distinct sizes with
+    their counts, of which n rows have at most sqrt(2 n), and groups are then ranked within their size.
+    """
+    g = cut_lineage(df.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_name", F.coalesce(F.col(group).cast("string"), F.lit("None"))))
+    sizes = sorted(((x["_n"], x.k) for x in g.groupBy("_n").agg(F.count("*").alias("k")).collect()), reverse=True)
+    most, have, fits = share * sum(n * k for n, k in sizes), 0, []
+    for n, k in sizes:
+        some = min(k, int((most - have) // n))
+        have += n * some
+        fits.append((n, some))
+    g = running_sums(g.withColumn("_one", F.lit(1)), "_name", {"_rank": "_one"}, keys=("_n",), ties=(group,))
+    t = g.join(F.broadcast(df.sparkSession.createDataFrame(fits, "_n long, _fits long")), "_n").select(F.col(group).alias("_g"), F.when(F.col("_rank") <= F.col("_fits"), 0).otherwise(1).alias("fold"))
+    return df.drop("fold").join(small(t), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def largest_cluster(df: DataFrame, cluster: str) -> DataFrame:
@@ -109,16 +115,16 @@ def first_component(df: DataFrame, share: float = 0.8, x: str = "x") -> DataFram
     return _rank_cut(d, F.col("_s"), share).drop("_s")
 
 
-def leaders(df: DataFrame, threshold: float, metric: str = "cosine", most: int = 200) -> DataFrame:
+def leaders(df: DataFrame, threshold: float, metric: str = "cosine") -> DataFrame:
     """obs_id, leader by sphere exclusion: in rounds, each not yet covered row that no uncovered row of smaller hash is
-    similar to becomes a leader and covers the rows similar to it. All leaders of a round are found at once."""
-    from .graph import cut_lineage
+    similar to becomes a leader and covers the rows similar to it. All leaders of a round are found at once, and each round
+    covers at least the uncovered row of smallest hash, so rounds go on until every row has a leader."""
     from .similarity import edges_within
 
     e = cut_lineage(edges_within(df, metric, threshold))
     left = cut_lineage(df.select("obs_id", hash_int(F.col("obs_id"), 7).alias("h")))
     done = None
-    for _ in range(most):
+    while True:
         a, b = left.withColumnsRenamed({"obs_id": "src", "h": "hs"}), left.withColumnsRenamed({"obs_id": "dst", "h": "hd"})
         near = e.join(a, "src").join(b, "dst")
         beaten = near.where((F.col("hd") < F.col("hs")) | ((F.col("hd") == F.col("hs")) & (F.col("dst") < F.col("src")))).select(F.col("src").alias("obs_id")).distinct()
@@ -129,15 +135,12 @@ def leaders(df: DataFrame, threshold: float, metric: str = "cosine", most: int =
         done = new if done is None else done.unionByName(new)
         left = cut_lineage(left.join(new, "obs_id", "left_anti"))
         if left.isEmpty():
-            break
-    return done
+            return done
 
 
 def maxmin(df: DataFrame, n: int, metric: str = "sqdist") -> DataFrame:
     """obs_id, step: n rows picked one after another, each the farthest from those picked; starts at the smallest obs_id.
     Every round updates running minima by one broadcast vector; n is a number of picks, not of rows."""
-    from .graph import cut_lineage
-
     cur = df.select("obs_id", "x", F.lit(1e300).alias("_m"))
     last = cur.orderBy("obs_id").limit(1).collect()
     out = []

@@ -5,27 +5,16 @@ Matrices are never dense: products with an assignment are two equi-joins and a s
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage
+from ..functions.prefix import next_value, percentiles
 from .similarity import nearest
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write an iteration's table to the cluster's checkpoint folder, so that later rounds don't repeat it."""
-    spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="partita-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint()
-
-
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("obs_id")).agg(F.sum("val").alias("degree"), F.count("*").alias("neighbours"))
 
@@ -107,21 +96,20 @@ def singleton_chain(edges: DataFrame, nodes: DataFrame, weight: float) -> DataFr
     """Edges that link rows without an edge to the next such row of the same coarse key (``key``), both ways: one
     component a key with linearly many edges, where a clique would have quadratically many."""
     alone = nodes.join(edges.select(F.col("src").alias("obs_id")).distinct(), "obs_id", "left_anti")
-    nxt = F.lead("obs_id").over(Window.partitionBy("key").orderBy("obs_id"))
-    c = alone.where("key is not null").select(F.col("obs_id").alias("src"), nxt.alias("dst")).where("dst is not null").withColumn("val", F.lit(float(weight)))
+    c = next_value(alone.where("key is not null").select("key", "obs_id"), "obs_id", "dst", keys=("key",))
+    c = c.select(F.col("obs_id").alias("src"), "dst").where("dst is not null").withColumn("val", F.lit(float(weight)))
     return edges.select("src", "dst", "val").unionByName(c).unionByName(c.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "val"))
 
 
 def singleton_clique(edges: DataFrame, nodes: DataFrame, weight: float, most: int = 64) -> DataFrame:
-    """Like :func:`singleton_chain`, but all pairs of a key's isolated rows where these are at most ``most``; larger keys
-    get the chain, which joins the same components."""
+    """Like :func:`singleton_chain`, but all pairs of a key's isolated rows. Raises ValueError where a key has more than
+    ``most`` of them, as edges grow with the square: the chain joins the same components."""
     alone = nodes.join(edges.select(F.col("src").alias("obs_id")).distinct(), "obs_id", "left_anti").where("key is not null")
-    sizes = alone.groupBy("key").agg(F.count("*").alias("n"))
-    few = alone.join(sizes.where(F.col("n") <= most).select("key"), "key", "left_semi")
-    pairs = few.select(F.col("obs_id").alias("src"), "key").join(few.select(F.col("obs_id").alias("dst"), "key"), "key").where("src <> dst").select("src", "dst", F.lit(float(weight)).alias("val"))
-    many = alone.join(sizes.where(F.col("n") > most).select("key"), "key", "left_semi")
-    chain = singleton_chain(edges.limit(0), many, weight)
-    return edges.select("src", "dst", "val").unionByName(pairs).unionByName(chain)
+    largest = alone.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a key has {largest} isolated rows, more than {most}: use singleton_chain")
+    pairs = alone.select(F.col("obs_id").alias("src"), "key").join(alone.select(F.col("obs_id").alias("dst"), "key"), "key").where("src <> dst").select("src", "dst", F.lit(float(weight)).alias("val"))
+    return edges.select("src", "dst", "val").unionByName(pairs)
 
 
 def calibrate(edges: DataFrame, n: int, grid: Sequence[float], floor: float | None = None) -> DataFrame:
@@ -152,7 +140,9 @@ def knn_purity(neighbours: DataFrame, assign: DataFrame, test: int = 1, train: i
 def nearest_distance_stats(df: DataFrame, metric: str = "euclidean", test: int = 1, train: int = 0) -> DataFrame:
     """One row: mean, p95 and max of test rows' distance to their nearest training row."""
     d = nearest(df.where(F.col("fold") == test), df.where(F.col("fold") == train), 1, metric)
-    return d.agg(F.avg("val").alias("mean"), F.percentile("val", F.lit(0.95)).alias("p95"), F.max("val").alias("max"))
+    d = cut_lineage(d)
+    p95 = percentiles(d, "val", [0.95]).select(F.col("q")[0].alias("p95"))
+    return d.agg(F.avg("val").alias("mean"), F.max("val").alias("max")).join(F.broadcast(p95)).select("mean", "p95", "max")
 
 
 def proximity_leakage(df: DataFrame, m: int = 64, test: int = 1, train: int = 0) -> DataFrame:
@@ -161,8 +151,8 @@ def proximity_leakage(df: DataFrame, m: int = 64, test: int = 1, train: int = 0)
     from .stratify import mann_whitney
 
     rows = df.where(F.col("fold").isin(test, train))
-    nn = nearest(rows, df.where(F.col("fold") == train), m, "sqdist").withColumnRenamed("src", "obs_id")
-    h = nn.where("rank = 1").agg(F.percentile(F.sqrt("val"), F.lit(0.5)).alias("h"))
+    nn = cut_lineage(nearest(rows, df.where(F.col("fold") == train), m, "sqdist").withColumnRenamed("src", "obs_id"))
+    h = percentiles(nn.where("rank = 1").select(F.sqrt("val").alias("d")), "d", [0.5]).select(F.col("q")[0].alias("h"))
     phi = nn.join(F.broadcast(h)).groupBy("obs_id").agg(F.avg(F.exp(-F.col("val") / (2 * F.col("h") * F.col("h")))).alias("y"))
     y = rows.select("obs_id", F.when(F.col("fold") == train, 0).otherwise(1).alias("fold")).join(phi, "obs_id").withColumn("y", F.round("y", 12))
     return mann_whitney(y).select((2 * F.col("share") - 1).alias("tpl"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import small
+from ..functions.prefix import percentiles, row_numbers
 from ..functions.rng import hash_int
 
 
@@ -19,8 +21,10 @@ def impute_mean(df: DataFrame, *cols: str) -> DataFrame:
 def impute_median(df: DataFrame, *cols: str) -> DataFrame:
     """Nulls and non-finite values become the exact median of the finite ones."""
     finite = {c: F.when(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c)) for c in cols}
-    medians = df.agg(*(F.percentile(finite[c], F.lit(0.5)).alias(f"_m_{c}") for c in cols))
-    return df.join(F.broadcast(medians)).select(*(F.coalesce(finite[c], F.col(f"_m_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns))
+    d = df
+    for c in cols:
+        d = d.join(F.broadcast(percentiles(df.select(finite[c].alias("_v")), "_v", [0.5]).select(F.col("q")[0].alias(f"_m_{c}"))))
+    return d.select(*(F.coalesce(finite[c], F.col(f"_m_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns))
 
 
 def zscore(df: DataFrame, *cols: str) -> DataFrame:
@@ -42,17 +46,18 @@ def family_floor_cap(df: DataFrame, family: str, order: str, floor: int, cap: in
     ``name#chunk`` of about equal size by ``order``."""
     n = df.groupBy(family).agg(F.count("*").alias("_n"))
     d = df.join(n, family)
-    rank = F.row_number().over(Window.partitionBy(family).orderBy(order, "obs_id"))
-    chunk = F.floor((rank - 1) * F.ceil(F.col("_n") / cap) / F.col("_n")).cast("int")
+    d = row_numbers(d, order, "_rank", keys=(family,))
+    chunk = F.floor((F.col("_rank") - 1) * F.ceil(F.col("_n") / cap) / F.col("_n")).cast("int")
     name = F.when(F.col("_n") < floor, F.lit("minor")).when(F.col("_n") > cap, F.concat(F.col(family), F.lit("#"), chunk)).otherwise(F.col(family))
     return d.select(*(name.alias(c) if c == family else F.col(c) for c in df.columns))
 
 
 def label_encode(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Codes from 0 in the order in which values first appear by obs_id; values are few and ranked apart from rows."""
+    """Codes from 0 in the order in which values first appear by obs_id; values are ranked apart from rows, in ranges, and
+    broadcast only if a count says that they are few."""
     first = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.min("obs_id").alias("_first"))
-    codes = first.select(col, (F.row_number().over(Window.orderBy("_first")) - 1).alias(out))
-    return df.join(F.broadcast(codes), col, "left")
+    codes = row_numbers(first, "_first", out, ties=(col,)).select(col, (F.col(out) - 1).cast("int").alias(out))
+    return df.join(small(codes), col, "left")
 
 
 def bin_edges(y: Column, edges: Sequence[float]) -> Column:
@@ -95,7 +100,7 @@ def subsample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
 def stratified_sample(df: DataFrame, group: str, share: float, seed: int = 42) -> DataFrame:
     """The same share of each group's rows, those with the smallest hash; shares round half up."""
     n = df.groupBy(group).agg(F.count("*").alias("_n"))
-    d = df.join(n, group).withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(hash_int(F.col("obs_id"), seed), "obs_id")))
+    d = row_numbers(df.join(n, group).withColumn("_h", hash_int(F.col("obs_id"), seed)), "_h", "_r", keys=(group,))
     return d.where(F.col("_r") <= F.floor(F.lit(share) * F.col("_n") + 0.5)).select(*df.columns)
 
 

@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage
+from ..functions.prefix import percentiles
+
 BLOCK = 2048
 METRICS = ("cosine", "dot", "sqdist", "euclidean", "rbf", "laplace", "tanimoto")
 #: For these, smaller is nearer.
@@ -112,6 +115,17 @@ def kernel_edges(df: DataFrame, metric: str = "rbf", scale: float = 1.0, most: i
     return _join(df, df, pick, _EDGE)
 
 
+def kernel_row_sums(df: DataFrame, metric: str = "rbf", scale: float = 1.0) -> DataFrame:
+    """obs_id, row_sum of the dense kernel, diagonal included, for tables of any size: a block pair gives a sum a row, and
+    no entry leaves its task. The work still grows with the square of the rows."""
+
+    def pick(p, q, a, b):
+        v = block_values(a, b, metric, scale)
+        return np.arange(len(v)), np.zeros(len(v), int), v.sum(1)
+
+    return _join(df, df, pick, _EDGE).groupBy(F.col("src").alias("obs_id")).agg(F.sum("val").alias("row_sum"))
+
+
 def symmetrise(edges: DataFrame, how: str = "max") -> DataFrame:
     """Both directions of every edge, merged by ``max`` or by half the ``sum``."""
     both = edges.select("src", "dst", "val").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "val"))
@@ -123,7 +137,8 @@ def knn_graph(df: DataFrame, k: int, weight: str = "binary", metric: str = "sqdi
     (``gaussian``)."""
     e = nearest(df, df, k, metric)
     if weight == "gaussian":
-        e = e.join(F.broadcast(e.agg(F.percentile("val", F.lit(0.5)).alias("_s")))).withColumn("val", F.exp(-F.col("val") / F.col("_s")))
+        e = cut_lineage(e)
+        e = e.join(F.broadcast(percentiles(e, "val", [0.5]).select(F.col("q")[0].alias("_s")))).withColumn("val", F.exp(-F.col("val") / F.col("_s")))
     else:
         e = e.withColumn("val", F.lit(1.0) if weight == "binary" else 1 / (1 + F.col("val")))
     return symmetrise(e)
@@ -131,7 +146,7 @@ def knn_graph(df: DataFrame, k: int, weight: str = "binary", metric: str = "sqdi
 
 def median_bandwidth(df: DataFrame, metric: str = "sqdist") -> DataFrame:
     """One row, bandwidth: the median of all pairwise squared distances, zeros of the diagonal included."""
-    return kernel_edges(df, metric).agg(F.percentile("val", F.lit(0.5)).alias("bandwidth"))
+    return percentiles(kernel_edges(df, metric), "val", [0.5]).select(F.col("q")[0].alias("bandwidth"))
 
 
 def nearest_leader(df: DataFrame, leaders: DataFrame, metric: str = "cosine") -> DataFrame:

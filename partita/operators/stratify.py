@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prefix import running_sums
+from ..functions.lineage import cut_lineage
+from ..functions.prefix import next_value, percentiles, running_sums
 from ..functions.rng import gaussian
 from .folds import target_share
 
@@ -59,7 +60,7 @@ def fourth_moment_error(df: DataFrame) -> DataFrame:
 
 def quantile_edges(df: DataFrame, bins: int, y: str = "y") -> DataFrame:
     """One row, edges: the inner quantiles, by linear interpolation."""
-    return df.agg(F.percentile(y, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("edges"))
+    return percentiles(df, y, [i / bins for i in range(1, bins)]).withColumnRenamed("q", "edges")
 
 
 def quantile_bins(df: DataFrame, bins: int, y: str = "y", out: str = "bin") -> DataFrame:
@@ -126,17 +127,8 @@ def anderson_darling(df: DataFrame, k: int = 2) -> DataFrame:
 
 def wasserstein1(df: DataFrame) -> DataFrame:
     """One row, w1: the distance of the weighted distributions of y in folds 0 and 1."""
-    from .graph import cut_lineage
-
-    s = cut_lineage(_steps(df, 2))
-    # The next value of each step: within its range by a window, across ranges by the ranges' first values.
-    from ..functions.prefix import value_ranges
-
-    d = s.withColumn("_range", value_ranges(s, "y"))
-    firsts = d.groupBy("_range").agg(F.min("y").alias("_first"))
-    after = firsts.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_after"))
-    d = d.join(F.broadcast(after), "_range")
-    gap = F.coalesce(F.lead("y").over(Window.partitionBy("_range").orderBy("y")), F.col("_after")) - F.col("y")
+    d = next_value(cut_lineage(_steps(df, 2)), "y", "_next")
+    gap = F.col("_next") - F.col("y")
     d = d.select((F.abs(F.col("c0") / F.col("t0") - F.col("c1") / F.col("t1")) * gap).alias("x"))
     return d.agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("w1"))
 
@@ -150,9 +142,8 @@ def weighted_quantile(df: DataFrame, levels: Sequence[float]) -> DataFrame:
 
 def qq_table(df: DataFrame, points: int = 100) -> DataFrame:
     """level, q0, q1: quantiles of y in folds 0 and 1, by linear interpolation."""
-    levels = F.array(*(F.lit(i / points) for i in range(points + 1)))
-    q = [F.percentile(F.when(F.col("fold") == i, F.col("y")), levels) for i in (0, 1)]
-    return df.agg(q[0].alias("a"), q[1].alias("b")).select(F.posexplode("a").alias("i", "q0"), "b").select((F.col("i") / points).alias("level"), "q0", F.col("b")[F.col("i")].alias("q1"))
+    a, b = (percentiles(df.where(F.col("fold") == i), "y", [i / points for i in range(points + 1)]).withColumnRenamed("q", n) for i, n in ((0, "a"), (1, "b")))
+    return a.join(F.broadcast(b)).select(F.posexplode("a").alias("i", "q0"), "b").select((F.col("i") / points).alias("level"), "q0", F.col("b")[F.col("i")].alias("q1"))
 
 
 def average_rank(df: DataFrame, y: str = "y", out: str = "rank") -> DataFrame:

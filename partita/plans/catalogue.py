@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_assign, q_folds, q_graph, q_more, q_stats, q_terms
+from . import q_assign, q_folds, q_graph, q_more, q_splits, q_stats, q_terms
 
-_MODULES = (q_folds, q_stats, q_graph, q_assign, q_terms, q_more)
+_MODULES = (q_folds, q_stats, q_graph, q_assign, q_terms, q_more, q_splits)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

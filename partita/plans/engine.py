@@ -1,7 +1,11 @@
-"""The splitter: block-coordinate search for a two-fold assignment, sweeps over coefficients, and several splits by seed.
+"""The splitter: block-coordinate search for an assignment to folds, sweeps over coefficients, and several splits by seed.
 
-State of the loop is one table (obs_id, fold); each round is a handful of joins on the edge tables, an ordered prefix for
-the assignment, and a repair. Terms without an input add nothing to the plan.
+State of the loop is one table (obs_id, fold); each round is a handful of joins on the edge tables, ordered prefixes for
+the assignment, and a repair. Terms without an input add nothing to the plan. Two folds are assigned exactly for the
+linearised objective; more are filled one after another, each by such an assignment among the rows that are left.
+
+Whole units are assigned where entities, groups or super-nodes must not straddle: gradients are summed over a unit, which
+is coarsening, and its fold holds for all its rows, which is the lift back.
 """
 
 from __future__ import annotations
@@ -13,10 +17,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rng import gaussian
+from ..functions.lineage import cut_lineage
+from ..functions.rng import gaussian, uniform
 from ..operators import assign as asg
 from ..operators import folds, graph, stratify, transport
-from ..operators.graph import cut_lineage
 from ..operators.select import pareto, recommend, stage0_cut
 
 
@@ -26,11 +30,16 @@ class SplitSpec:
 
     obs: DataFrame
     share: float = 0.8
+    shares: tuple[float, ...] | None = None  # of all folds, if these are not (share, 1 - share)
     edges: DataFrame | None = None  # src, dst, val: the cut term
     kernel: DataFrame | None = None  # src, dst, val: the term that drives folds apart
     hierarchy: str | None = None  # a column of obs whose groups are to stay whole
-    stratify: bool = False  # by quantiles of y
+    stratify: bool | str = False  # by quantiles of y (True or "quantile"), or by its moments ("moment")
     entity: str | None = None  # a column of obs whose rows may not straddle folds
+    other: str | None = None  # a second entity column
+    cold: str = "left"  # which may not straddle: "left" (entity), "right" (other), or "both"
+    supers: str | None = None  # a column of super-nodes that are assigned whole
+    repair: bool = False  # mend split groups and swap for leakage at the end, where that is no worse
     provenance: str | None = None  # where the edges come from; required with them
     alpha: float = 1.0
     beta: float = 1.0
@@ -42,6 +51,16 @@ class SplitSpec:
     max_iter: int = 10
     patience: int = 3
     seed: int = 42
+    least_moved: float = 0.0  # end where a smaller share of rows changes fold
+
+    @property
+    def r(self) -> tuple[float, ...]:
+        return tuple(self.shares) if self.shares else (self.share, 1 - self.share)
+
+    @property
+    def unit(self) -> str | None:
+        """The column whose values are assigned whole."""
+        return self.supers or (self.other if self.cold == "right" else self.entity) or self.hierarchy
 
     def check(self) -> None:
         """Raise ValueError for inputs that contradict one another."""
@@ -54,11 +73,19 @@ class SplitSpec:
             raise ValueError("edges need a provenance")
         if not 0 < self.share < 1:
             raise ValueError("share must lie between 0 and 1")
+        if len(self.r) < 2 or min(self.r) <= 0 or abs(sum(self.r) - 1) > 1e-9:
+            raise ValueError("shares must be positive, of two folds at least, and add up to 1")
+        if self.kernel is not None and len(self.r) > 2:
+            raise ValueError("the kernel term drives two folds apart")
+        if self.cold not in ("left", "right", "both") or self.cold != "left" and not self.other or self.cold == "both" and not self.entity:
+            raise ValueError("cold is left, right (needs other) or both (needs entity and other)")
+        if self.stratify not in (False, True, "quantile", "moment"):
+            raise ValueError("stratify is quantile or moment")
         if self.eps < 0 or min(self.alpha, self.beta, self.gamma, self.mu, self.eta, self.noise) < 0:
             raise ValueError("coefficients must not be negative")
         if self.stratify and "y" not in have:
             raise ValueError("stratify needs y")
-        for c in (self.hierarchy, self.entity):
+        for c in (self.hierarchy, self.entity, self.other, self.supers):
             if c and c not in have:
                 raise ValueError(f"obs has no column {c}")
         for name, e in (("edges", self.edges), ("kernel", self.kernel)):
@@ -75,6 +102,7 @@ class SplitSpec:
 class SplitResult:
     assignment: DataFrame
     history: list[dict] = field(default_factory=list)
+    stopped: str = ""  # why rounds ended: "patience", "rounds", "still" (few rows or none moved)
 
     def history_table(self) -> DataFrame:
         rows = [(h["iteration"], t, float(h[t])) for h in self.history for t in h if t != "iteration"]
@@ -83,7 +111,7 @@ class SplitResult:
 
 def _terms(spec: SplitSpec, cur: DataFrame, scale: dict[str, float]) -> dict[str, float]:
     """The terms' values, scaled, and the objective."""
-    r = (spec.share, 1 - spec.share)
+    r = spec.r
     d = cur.join(spec.obs.drop("fold"), "obs_id")
     out: dict[str, float] = {}
     if spec.hierarchy:
@@ -95,7 +123,9 @@ def _terms(spec: SplitSpec, cur: DataFrame, scale: dict[str, float]) -> dict[str
     if spec.kernel is not None:
         row = transport.mmd_pairs(spec.kernel, d).first()
         out["D"] = -spec.gamma * (row.mmd2 if row else 0.0) / scale["kernel"]
-    if spec.stratify:
+    if spec.stratify == "moment":
+        out["S"] = spec.mu * (stratify.moment_residual(d).agg(F.sum("residual")).first()[0] or 0.0) / scale["strata"]
+    elif spec.stratify:
         b = stratify.quantile_bins(d, 10)
         out["S"] = spec.mu * stratify.quantile_residual(b, r).first().residual / scale["strata"]
     out["composite"] = sum(out.values())
@@ -104,76 +134,123 @@ def _terms(spec: SplitSpec, cur: DataFrame, scale: dict[str, float]) -> dict[str
     return out
 
 
-def _delta(spec: SplitSpec, cur: DataFrame, scale: dict[str, float]) -> DataFrame:
-    """obs_id, delta: how the linearised objective changes per row of fold 1 over fold 0."""
-    d = cur.join(spec.obs.drop("fold"), "obs_id")
-    parts = [spec.obs.select("obs_id", F.lit(0.0).alias("g"))]
+def _gradients(spec: SplitSpec, cur: DataFrame, scale: dict[str, float]) -> DataFrame:
+    """obs_id, g: the linearised objective's change, per row, for each fold it may be in (an array)."""
+    d, k = cur.join(spec.obs.drop("fold"), "obs_id"), len(spec.r)
+    parts = [spec.obs.select("obs_id", F.lit(0).alias("fold"), F.lit(0.0).alias("g"))]
+
+    def add(g: DataFrame, weight: float) -> None:
+        parts.append(g.select("obs_id", "fold", (F.col("gradient") * weight).alias("g")))
+
     if spec.edges is not None:
-        g = graph.cut_gradient(spec.edges, cur)
-        parts.append(g.select("obs_id", (F.when(F.col("fold") == 1, 1.0).otherwise(-1.0) * F.col("gradient") * spec.beta / scale["cut"]).alias("g")))
+        add(graph.cut_gradient(spec.edges, cur, k), spec.beta / scale["cut"])
     if spec.kernel is not None:
-        g = transport.mmd_gradient(spec.kernel, d).join(cur, "obs_id")
-        parts.append(g.select("obs_id", (F.when(F.col("fold") == 1, 1.0).otherwise(-1.0) * F.col("gradient") * spec.gamma / scale["kernel"]).alias("g")))
-    if spec.stratify:
-        b = stratify.quantile_bins(d, 10)
-        g = stratify.quantile_gradient(b, (spec.share, 1 - spec.share))
-        parts.append(g.select("obs_id", (F.when(F.col("fold") == 1, 1.0).otherwise(-1.0) * F.col("gradient") * spec.mu / scale["strata"]).alias("g")))
+        add(transport.mmd_gradient(spec.kernel, d).join(cur, "obs_id"), spec.gamma / scale["kernel"])
+    if spec.stratify == "moment":
+        add(stratify.moment_gradient(d).join(cur, "obs_id"), spec.mu / scale["strata"])
+    elif spec.stratify:
+        add(stratify.quantile_gradient(stratify.quantile_bins(d, 10), spec.r), spec.mu / scale["strata"])
     if spec.noise:
-        parts.append(spec.obs.select("obs_id", (gaussian(F.col(spec.entity or "obs_id"), spec.seed) * spec.noise).alias("g")))
+        for i in range(1, k):
+            parts.append(spec.obs.select("obs_id", F.lit(i).alias("fold"), (gaussian(F.col(spec.unit or "obs_id"), spec.seed + 1009 * (i - 1)) * spec.noise).alias("g")))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.groupBy("obs_id").agg(F.sum("g").alias("delta"))
+    return every.groupBy("obs_id").agg(F.array(*(F.sum(F.when(F.col("fold") == i, F.col("g")).otherwise(0.0)) for i in range(k))).alias("g"))
+
 
+def _assign(spec: SplitSpec, gradients: DataFrame) -> DataFrame:
+    """Rows, or whole units as one row each, assigned by ordered prefixes."""
+    d = spec.obs.select("obs_id", "w", *([spec.unit] if spec.unit else [])).join(gradients, "obs_id")
+    if not spec.unit:
+        return asg.assign_folds(d, spec.r, spec.eps, spec.eta)
+    d = d.withColumn("_unit", F.coalesce(F.concat(F.lit("u"), F.col(spec.unit).cast("string")), F.concat(F.lit("r"), F.col("obs_id").cast("string"))))
+    each = [F.sum(F.col("g")[i]) for i in range(len(spec.r))]
+    g = cut_lineage(d.groupBy(F.col("_unit").alias("obs_id")).agg(F.sum("w").alias("w"), F.array(*each).alias("g")))
+    z = asg.assign_folds(g, spec.r, spec.eps, spec.eta).withColumnRenamed("obs_id", "_unit")
+    return d.select("obs_id", "_unit").join(z, "_unit").select("obs_id", "fold")
 
-def _assign(spec: SplitSpec, delta: DataFrame) -> DataFrame:
-    """Rows, or whole entities or groups as one row each, assigned by the ordered prefix."""
-    unit = spec.entity or spec.hierarchy
-    d = spec.obs.select("obs_id", "w", *([unit] if unit else [])).join(delta, "obs_id")
-    if not unit:
-        return asg.assign_two(d, 1 - spec.share, spec.eps, spec.eta).select("obs_id", "fold")
-    d = d.withColumn("_unit", F.coalesce(F.concat(F.lit("u"), F.col(unit).cast("string")), F.concat(F.lit("r"), F.col("obs_id").cast("string"))))
-    g = d.groupBy(F.col("_unit").alias("obs_id")).agg(F.sum("w").alias("w"), F.sum("delta").alias("delta"))
-    z = asg.assign_two(g, 1 - spec.share, spec.eps, spec.eta).select(F.col("obs_id").alias("_unit"), "fold")
-    return d.join(z, "_unit").select("obs_id", "fold")
+
+def cold_both(assignment: DataFrame, obs: DataFrame, entity: str, other: str, r: Sequence[float], eps: float) -> DataFrame:
+    """The rows whose two entities lie in one fold; the rest is discarded, so neither entity straddles.
+
+    The other entities get folds of their own, with the folds' shares of mass, where least of their rows' mass lies apart
+    from the first entities' folds. Rows without the other entity stay.
+    """
+    d = assignment.join(obs.select("obs_id", "w", F.col(entity).alias("_l"), F.col(other).alias("_r")), "obs_id")
+    apart = F.array(*(F.sum(F.when(F.col("fold") != i, F.col("w")).otherwise(0.0)) for i in range(len(r))))
+    right = cut_lineage(d.where("_r is not null").groupBy(F.col("_r").alias("obs_id")).agg(F.sum("w").alias("w"), apart.alias("g")))
+    right = asg.assign_folds(right, r, eps).select(F.col("obs_id").alias("_r"), F.col("fold").alias("_f"))
+    return d.join(right, "_r", "left").where("_f is null or _f = fold").select("obs_id", "fold")
+
+
+def _mended(spec: SplitSpec, cur: DataFrame) -> list[DataFrame]:
+    """Candidates for the end: groups made whole within the band, then rows swapped for leakage (two folds)."""
+    d = cur.join(spec.obs.drop("fold"), "obs_id")
+    out = []
+    if spec.hierarchy and not spec.unit:
+        out.append(cut_lineage(asg.hierarchy_repair(d, spec.hierarchy, spec.r, spec.eps).select("obs_id", "fold")))
+    if spec.edges is not None and len(spec.r) == 2 and not spec.unit:
+        base = out[-1].join(spec.obs.drop("fold"), "obs_id") if out else d
+        out.append(cut_lineage(asg.swap_for_leakage(base, spec.edges, spec.r)))
+    return out
 
 
 def normalisers(spec: SplitSpec) -> dict[str, float]:
     """Scales of the terms, from the inputs alone: mass, cut of random assignments, kernel and strata scales."""
     out = {"W": spec.obs.agg(F.sum("w")).first()[0] or 1.0, "cut": 1.0, "kernel": 1.0, "strata": 1.0}
     if spec.edges is not None:
-        out["cut"] = stage0_cut(spec.obs, spec.edges, 20, spec.share, spec.seed).first().mean_cut or 1.0
+        out["cut"] = stage0_cut(spec.obs, spec.edges, 20, max(spec.r), spec.seed).first().mean_cut or 1.0
     if spec.kernel is not None:
         out["kernel"] = transport.mmd_scales(spec.kernel).first().worst or 1.0
-    if spec.stratify:
-        out["strata"] = stratify.quantile_scale(stratify.quantile_bins(spec.obs, 10), (spec.share, 1 - spec.share)).first().scale or 1.0
+    if spec.stratify == "moment":
+        out["strata"] = stratify.moment_scale(spec.obs).first().scale or 1.0
+    elif spec.stratify:
+        out["strata"] = stratify.quantile_scale(stratify.quantile_bins(spec.obs, 10), spec.r).first().scale or 1.0
     return out
 
 
 def split(spec: SplitSpec, scale: dict[str, float] | None = None) -> SplitResult:
-    """The best assignment met. Rounds end after ``patience`` without a better objective, or when nothing moves."""
+    """The best assignment met. Rounds end after ``patience`` without a better objective, when less than ``least_moved`` of
+    the rows change fold, or nothing does. With ``cold="both"`` rows whose two entities lie apart are left out of it."""
     spec.check()
     scale = scale or normalisers(spec)
-    r = (spec.share, 1 - spec.share)
-    if spec.entity or spec.hierarchy:
-        cur = _assign(spec, spec.obs.select("obs_id", F.lit(0.0).alias("delta")))
+    if spec.unit:
+        start = F.array(*(F.lit(0.0) if not i else uniform(F.col(spec.unit), spec.seed + i) - 0.5 for i in range(len(spec.r))))
+        cur = _assign(spec, spec.obs.select("obs_id", F.coalesce(start, F.array(*[F.lit(0.0)] * len(spec.r))).alias("g")))
     else:
-        cur = asg.random_balanced(spec.obs, r, spec.seed)
+        cur = asg.random_balanced(spec.obs, spec.r, spec.seed)
     cur = cut_lineage(cur)
-    best, best_value, stale, history = cur, float("inf"), 0, []
-    for i in range(spec.max_iter + 1):
+    n = cur.count()
+    best, best_value, best_gap, stale, history, stopped = cur, float("inf"), 0.0, 0, [], ""
+    i = 0
+    while not stopped:
         t = _terms(spec, cur, scale)
         history.append({"iteration": i} | t)
         stale += 1
         if t["composite"] < best_value - 1e-12:
-            best, best_value, stale = cur, t["composite"], 0
+            best, best_value, best_gap, stale = cur, t["composite"], t["imbalance"], 0
         if stale >= spec.patience or i == spec.max_iter:
+            stopped = "rounds" if i == spec.max_iter else "patience"
             break
-        new = cut_lineage(_assign(spec, _delta(spec, cur, scale)))
-        if new.join(cur.withColumnRenamed("fold", "_f"), "obs_id").where("fold <> _f").isEmpty():
-            break
-        cur = new
-    return SplitResult(best, history)
+        new = cut_lineage(_assign(spec, _gradients(spec, cur, scale)))
+        moved = new.join(cur.withColumnRenamed("fold", "_f"), "obs_id").where("fold <> _f").count()
+        if moved <= spec.least_moved * n:
+            stopped = "still"
+        cur, i = new, i + 1
+        if stopped and moved:
+            t = _terms(spec, cur, scale)
+            history.append({"iteration": i} | t)
+            if t["composite"] < best_value - 1e-12:
+                best, best_value, best_gap = cur, t["composite"], t["imbalance"]
+    for mended in _mended(spec, best) if spec.repair else []:
+        t = _terms(spec, mended, scale)
+        if t["composite"] <= best_value and t["imbalance"] <= max(spec.eps, best_gap) + 1e-9:
+            best, best_value, best_gap = mended, t["composite"], t["imbalance"]
+            history.append({"iteration": len(history)} | t)
+    if spec.cold == "both":
+        best = cut_lineage(cold_both(best, spec.obs, spec.entity, spec.other, spec.r, spec.eps))
+    return SplitResult(best, history, stopped)
 
 
 def sweep(spec: SplitSpec, alphas: Sequence[float], betas: Sequence[float], gammas: Sequence[float], rule: str = "min_of_normalized") -> tuple[DataFrame, DataFrame, dict[str, SplitResult]]:

@@ -56,7 +56,7 @@ QUERIES = {
     "pairwise_sqdist_topk": lambda s, d: _round(_knn(s, d), "val"),
     "pairwise_euclidean_eps": lambda s, d: _round(sim.edges_within(vectors(s, d), "euclidean", 1.1), "val"),
     "rbf_kernel": lambda s, d: _round(sim.kernel_edges(vectors(s, d), "rbf", 0.5).groupBy("src").agg(F.sum("val").alias("row_sum"), F.count("*").alias("n")), "row_sum"),
-    "laplace_kernel": lambda s, d: _round(sim.kernel_edges(vectors(s, d), "laplace", 0.1).groupBy("src").agg(F.sum("val").alias("row_sum")), "row_sum"),
+    "laplace_kernel": lambda s, d: _round(sim.kernel_row_sums(vectors(s, d), "laplace", 0.1).withColumnRenamed("obs_id", "src"), "row_sum"),
     "generalised_tanimoto": lambda s, d: _round(sim.edges_within(vectors(s, d), "tanimoto", 0.2), "val"),
     "median_bandwidth": lambda s, d: _round(sim.median_bandwidth(vectors(s, d)), "bandwidth"),
     "knn_graph_sym": lambda s, d: sim.knn_graph(vectors(s, d), 10),
@@ -97,7 +97,7 @@ ORACLE = {
     "pairwise_sqdist_topk": f"WITH {_KNN} SELECT src, rank::INT AS rank, dst, round(val, 6) AS val FROM nn",
     "pairwise_euclidean_eps": f"WITH {VECTORS} SELECT a.obs_id AS src, b.obs_id AS dst, round(list_distance(a.x, b.x), 6) AS val FROM vecs a JOIN vecs b ON a.obs_id <> b.obs_id WHERE list_distance(a.x, b.x) <= 1.1",
     "rbf_kernel": f"WITH {VECTORS} SELECT a.obs_id AS src, round(sum(exp(-0.5 * {_SQ})), 6) AS row_sum, count(*) AS n FROM vecs a, vecs b GROUP BY 1",
-    "laplace_kernel": f"WITH {VECTORS} SELECT a.obs_id AS src, round(sum(exp(-0.1 * list_sum(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2]))))), 6) AS row_sum FROM vecs a, vecs b WHERE a.obs_id < 100 AND b.obs_id < 100 GROUP BY 1",
+    "laplace_kernel": f"WITH {VECTORS} SELECT a.obs_id AS src, round(sum(exp(-0.1 * list_sum(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2]))))), 6) AS row_sum FROM vecs a, vecs b GROUP BY 1",
     "generalised_tanimoto": f"WITH {VECTORS}, p AS (SELECT a.obs_id AS src, b.obs_id AS dst, list_dot_product(a.x, b.x) AS g, list_dot_product(a.x, a.x) + list_dot_product(b.x, b.x) AS n FROM vecs a JOIN vecs b ON a.obs_id <> b.obs_id) SELECT src, dst, round(g / (n - g), 6) AS val FROM p WHERE g / (n - g) >= 0.2",
     "median_bandwidth": f"WITH {VECTORS} SELECT round(quantile_cont({_SQ}, 0.5), 6) AS bandwidth FROM vecs a, vecs b",
     "knn_graph_sym": f"WITH {_KNN}" + _SYM.format("1.0::DOUBLE"),

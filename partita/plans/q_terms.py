@@ -205,7 +205,7 @@ ORACLE = {
     "source_csv_latin1": "SELECT n_nationkey, 'é ' || n_name AS name FROM nation",
     "source_json_split": "SELECT n_nationkey::BIGINT AS index, n_nationkey AS key, n_name AS name FROM nation",
     "source_precomputed": f"WITH {PARTS} SELECT obs_id, (CASE kind WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 ELSE -1 END) AS fold FROM parts",
-    "source_edges": f"WITH {PAIRS}, e AS (SELECT left_id AS a, right_id AS b, w FROM prs WHERE left_id < 100 AND left_id <> right_id) SELECT src, dst, max(w)::DOUBLE AS val FROM (SELECT a AS src, b AS dst, w FROM e UNION ALL SELECT b, a, w FROM e) GROUP BY 1, 2",
+    "source_edges": f"WITH {PAIRS}, e AS (SELECT left_id AS a, right_id AS b, w FROM prs WHERE left_id <> right_id) SELECT src, dst, max(w)::DOUBLE AS val FROM (SELECT a AS src, b AS dst, w FROM e UNION ALL SELECT b, a, w FROM e) GROUP BY 1, 2",
     "sink_assignment": f"WITH {CUSTOMERS} SELECT obs_id, fold FROM customers",
     "stream_incremental": f"WITH {VECTORS}, c AS (SELECT a.obs_id, b.obs_id AS super_id, b.fold, {_SQ} AS dd FROM vecs a JOIN vecs b ON b.obs_id % 25 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY dd, super_id) AS k FROM c) SELECT obs_id, super_id, fold, round(dd, 6) AS distance FROM r WHERE k = 1",
 }

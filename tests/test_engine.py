@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from partita.functions import prefix
 from partita.functions.prefix import running_sums
 from partita.operators import assign, baselines, coarsen, folds, graph, prep, similarity, stratify, transport
 from partita.plans import catalogue, fixtures
@@ -57,7 +58,9 @@ def test_two_fold_assignment_is_optimal(spark):
 
 def test_running_sums_do_not_depend_on_ranges(spark):
     df = spark.createDataFrame([(i, float(i % 5), 1.0 + i) for i in range(40)], "obs_id long, v double, w double")
-    a, b = (sorted((r.obs_id, r.c) for r in running_sums(df, "v", {"c": "w"}, ranges=k).collect()) for k in (1, 16))
+    a, b = (sorted((r.obs_id, r.c) for r in running_sums(df, "v", {"c": "w"}, rows=k).collect()) for k in (100, 7))
+    assert a == b
+    a, b = (sorted((r.obs_id, r.c) for r in running_sums(df, "v", {"c": "w"}, keys=("v",), ties=("obs_id",), rows=k).collect()) for k in (100, 7))
     assert a == b
 
 
@@ -225,3 +228,70 @@ def test_laplace_kernel_sums_over_every_vector(spark):
     got = {r.src: r.row_sum for r in catalogue.queries()["laplace_kernel"](spark, d).collect()}
     want = {r.obs_id: float(np.exp(-0.1 * np.abs(x - v).sum(1)).sum()) for r, v in zip(rows, x)}
     assert len(rows) > 100 and got == pytest.approx(want, abs=2e-6)
+
+
+def test_one_value_is_split_by_its_ties_into_ranges_of_bounded_size(spark):
+    df = spark.range(20_000).select(F.col("id").alias("obs_id"), F.lit(1.0).alias("v"), F.lit(1).alias("w"))
+    ranged = prefix._ranged(df, 20_000, 1000, ("v", "obs_id"))
+    sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 2500
+    out = running_sums(df, "v", {"c": "w"}, ties=("obs_id",), rows=1000)
+    assert out.where("c <> obs_id + 1").count() == 0 and out.count() == 20_000
+
+
+def test_percentiles_and_next_values_over_ranges(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=300).round(2), [0.5] * 200])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(999, None)], "obs_id long, v double")
+    levels = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    for rows in (10, 10_000):
+        assert prefix.percentiles(df, "v", levels, rows).first().q == pytest.approx(np.quantile(x, levels).tolist())
+    d = df.where("v is not null").select("v").distinct().withColumn("key", F.col("v") > 0)
+    a, b = (sorted(map(str, prefix.next_value(d, "v", "n", ("key",), rows).collect())) for rows in (9, 10_000))
+    assert a == b
+
+
+def test_leaders_cover_every_row_of_an_arc(spark):
+    angles = [i * 0.02 for i in range(60)]
+    df = spark.createDataFrame([(i, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(angles)], "obs_id long, x array<double>")
+    got = {r.obs_id: r.leader for r in baselines.leaders(df, 0.999).collect()}
+    assert len(got) == 60 and all(np.cos(angles[i] - angles[j]) >= 0.999 - 1e-9 for i, j in got.items())
+
+
+def test_large_cliques_are_refused(spark):
+    nodes = spark.createDataFrame([(i, 0) for i in range(5)], "obs_id long, key int")
+    none = spark.createDataFrame([], "src long, dst long, val double")
+    assert graph.singleton_clique(none, nodes, 1.0, 5).count() == 20
+    with pytest.raises(ValueError):
+        graph.singleton_clique(none, nodes, 1.0, 4)
+
+
+def test_first_fit_by_sizes_is_that_of_groups_one_by_one(spark):
+    rng = np.random.default_rng(7)
+    for case in range(3):
+        sizes = rng.integers(1, 9, 40)
+        df = spark.createDataFrame([(100 * g + i, f"g{g}") for g, n in enumerate(sizes) for i in range(int(n))], "obs_id long, g string")
+        got = {r.g: r.fold for r in baselines.group_skip(df, "g", 0.55).collect()}
+        have, most = 0, 0.55 * sizes.sum()
+        for g in sorted(range(40), key=lambda g: (-sizes[g], f"g{g}")):
+            fits = have + sizes[g] <= most
+            have += sizes[g] if fits else 0
+            assert got[f"g{g}"] == (0 if fits else 1), case
+
+
+def test_k_folds_keep_their_shares(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, 1.0, [float(v) for v in rng.normal(size=4)]) for i in range(400)], "obs_id long, w double, g array<double>")
+    r = (0.4, 0.3, 0.2, 0.1)
+    got = assign.assign_folds(df, r, 0.03).collect()
+    n = np.bincount([x.fold for x in got], minlength=4)
+    assert len({x.obs_id for x in got}) == 400 and np.abs(n / 400 - r).max() <= 0.03 + 4 / 400
+    cost = {x.obs_id: x.g for x in df.collect()}
+    assert sum(cost[x.obs_id][x.fold] for x in got) < -150
+
+
+def test_contradictions_of_the_new_modes_are_refused(spark):
+    obs = spark.createDataFrame([(i, 1.0, float(i), i % 3) for i in range(9)], "obs_id long, w double, y double, e int")
+    for kw in ({"shares": (0.5, 0.6)}, {"shares": (1.0,)}, {"cold": "right"}, {"cold": "both", "other": "e"}, {"stratify": "no"}, {"supers": "gone"}):
+        with pytest.raises(ValueError):
+            split(SplitSpec(obs, **({"stratify": True} | kw)))
