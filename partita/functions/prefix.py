@@ -84,3 +84,28 @@ def percentiles(df: DataFrame, value: str, levels: Sequence[float], rows: int |
     found = c.agg(*(e.alias(f"_{i}") for i, e in nth.items()))
     between = [F.col(f"_{math.floor(h)}") + (h - math.floor(h)) * (F.col(f"_{math.ceil(h)}") - F.col(f"_{math.floor(h)}")) for h in at]
     return found.select(F.array(*between).alias("q"))
+
+
+def group_percentiles(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float], rows: int | None = None) -> DataFrame:
+    """keys, q: exact quantiles of each group by linear interpolation, nulls left out.
+
+    As :func:`percentiles`: beyond ``rows`` values, distinct values are counted and each level's two neighbours are the
+    values whose running counts span its places, so no group has to fit into one task.
+    """
+    d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    if d.count() <= (rows or RANGE_ROWS):
+        return d.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, levels))).alias("q"))
+    counts = cut_lineage(d.groupBy(*keys, "_v").agg(F.count("*").alias("_n")))
+    size = counts.groupBy(*keys).agg(F.sum("_n").alias("_all")).select(*(F.col(c).alias(f"_k_{c}") for c in keys), "_all")
+    c = running_sums(counts, "_v", {"_c": "_n"}, tuple(keys), (), rows).join(size, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    places = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(levels)))
+
+    def here(end):
+        return F.filter(places, lambda p: (end((F.col("_all") - 1) * p["q"]) >= F.col("_c") - F.col("_n")) & (end((F.col("_all") - 1) * p["q"]) < F.col("_c")))
+
+    ends = F.concat(F.transform(here(F.floor), lambda p: F.struct(p["i"].alias("i"), p["q"].alias("q"), F.lit(0).alias("up"))), F.transform(here(F.ceil), lambda p: F.struct(p["i"].alias("i"), p["q"].alias("q"), F.lit(1).alias("up"))))
+    e = c.select(*keys, "_v", "_all", F.explode(ends).alias("e")).groupBy(*keys, "e.i", "e.q").agg(
+        F.max(F.when(F.col("e.up") == 0, F.col("_v"))).alias("a"), F.max(F.when(F.col("e.up") == 1, F.col("_v"))).alias("b"), F.max((F.col("_all") - 1) * F.col("e.q")).alias("h")
+    )
+    v = F.col("a") + (F.col("h") - F.floor("h")) * (F.col("b") - F.col("a"))
+    return e.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", v.alias("v")))), lambda s: s["v"]).alias("q"))

@@ -208,3 +208,38 @@ def pinned_rows(df: DataFrame, group: str, share: float = 0.9) -> DataFrame:
     g = df.groupBy(group, "fold").agg(F.sum("w").alias("m"))
     top = g.groupBy(group).agg(F.max_by("fold", F.struct("m", -F.col("fold"))).alias("_f"), (F.max("m") / F.sum("m")).alias("_share")).where(F.col("_share") >= share)
     return df.join(top.select(F.col(group).alias("_g"), "_f"), F.col(group) == F.col("_g")).select("obs_id", F.col("_f").alias("fold"))
+
+
+def containment(members: DataFrame, k: int = 2) -> DataFrame:
+    """level, group_id, fold, y for each fold: y is the least membership of the group's rows (level, group_id, fold), the
+    linear programme's optimum in closed form: 1 where the whole group lies in the fold, else 0."""
+    g = members.groupBy("level", "group_id").agg(F.min("fold").alias("_lo"), F.max("fold").alias("_hi")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return g.select("level", "group_id", "fold", ((F.col("_lo") == F.col("_hi")) & (F.col("_lo") == F.col("fold"))).cast("double").alias("y"))
+
+
+def containment_products(members: DataFrame, edges: DataFrame, k: int = 2) -> DataFrame:
+    """level, g, h, fold, p: the product of two similar groups' containment for each edge (level, g, h, s) and fold."""
+    y = containment(members, k)
+    a, b = y.withColumnsRenamed({"group_id": "g", "y": "_a"}), y.withColumnsRenamed({"group_id": "h", "y": "_b"})
+    return edges.select("level", "g", "h").join(a, ["level", "g"]).join(b, ["level", "h", "fold"]).select("level", "g", "h", "fold", (F.col("_a") * F.col("_b")).alias("p"))
+
+
+def class_repair(df: DataFrame, r: Sequence[float], cls: str, cost: str | None = None, frozen: str | None = None) -> DataFrame:
+    """``df`` after moves that mend balance within classes: for each ordered pair of folds and each class, rows go from the
+    fold above the class's target to the one below, cheapest first by the array ``cost`` (target fold's less own fold's),
+    then by obs_id, while the moved mass is within both gaps. So no class's and no fold's deviation grows. Rows where
+    ``frozen`` holds, as those of entities that must not straddle, stay; nulls are a class of their own."""
+    cur = df.withColumn("_class", F.col(cls))
+    for a in range(len(r)):
+        for b in range(len(r)):
+            if a == b:
+                continue
+            mass = [F.sum(F.when(F.col("fold") == i, F.col("w")).otherwise(0.0)) for i in (a, b)]
+            gap = F.least(mass[0] - r[a] * F.sum("w"), r[b] * F.sum("w") - mass[1])
+            g = cur.groupBy(F.col("_class").alias("_c_gap")).agg(gap.alias("_gap")).where("_gap > 0")
+            step = (F.element_at(cost, b + 1) - F.element_at(cost, a + 1)).cast("double") if cost else F.lit(0.0)
+            free = cur.where((F.col("fold") == a) & (~F.coalesce(F.col(frozen), F.lit(False)) if frozen else F.lit(True)))
+            free = free.select("obs_id", "w", "_class", step.alias("_s")).join(small(g), F.col("_class").eqNullSafe(F.col("_c_gap")))
+            move = running_sums(free, "_s", {"_m": "w"}, keys=("_class",), ties=("obs_id",)).where("_m <= _gap + 1e-9").select("obs_id", F.lit(b).alias("_to"))
+            cur = cut_lineage(cur.join(move, "obs_id", "left").select(*(F.coalesce("_to", "fold").cast("int").alias("fold") if c == "fold" else F.col(c) for c in cur.columns)))
+    return cur.drop("_class")

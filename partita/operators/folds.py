@@ -155,3 +155,32 @@ def hamming(assignments: DataFrame) -> DataFrame:
 def fold_wide(assignments: DataFrame, configs: Sequence[str]) -> DataFrame:
     """obs_id and one fold column for each configuration."""
     return assignments.groupBy("obs_id").pivot("config_id", list(configs)).agg(F.first("fold"))
+
+
+def mutual_information_targets(df: DataFrame, targets: Sequence[str], bins: int = 32) -> DataFrame:
+    """One row, mi: the mean over several numeric targets of the information that the fold has on each."""
+    every = None
+    for y in targets:
+        one = mutual_information_continuous(df.where(F.col(y).isNotNull()), y, bins)
+        every = one if every is None else every.unionByName(one)
+    return every.agg(F.avg("mi").alias("mi"))
+
+
+def entropy(df: DataFrame, label: str) -> DataFrame:
+    """One row, entropy in nats of the counts of a column's values, nulls left out; 0 without rows."""
+    n = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").cast("double").alias("n"))
+    return n.agg(F.coalesce(F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n"), F.lit(0.0)).alias("entropy"))
+
+
+def stability(assignments: DataFrame, most: float = 0.25) -> DataFrame:
+    """config_a, config_b, distance and unstable: whether two assignments place more than that share of rows differently."""
+    return hamming(assignments).withColumn("unstable", F.col("distance") > most)
+
+
+def entity_folds(assignments: DataFrame, obs: DataFrame, entity: str, configs: Sequence[str]) -> DataFrame:
+    """The entity and, for each configuration of (config_id, obs_id, fold), the fold of most of its rows (the lowest of
+    ties, -1 without rows); rows without an entity are left out."""
+    j = assignments.join(obs.where(F.col(entity).isNotNull()).select("obs_id", entity), "obs_id")
+    n = j.groupBy(entity, "config_id", "fold").agg(F.count("*").alias("n"))
+    best = n.groupBy(entity, "config_id").agg(F.min_by("fold", F.struct(-F.col("n"), F.col("fold"))).alias("fold"))
+    return best.groupBy(entity).pivot("config_id", list(configs)).agg(F.first("fold")).fillna(-1, subset=list(configs))

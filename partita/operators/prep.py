@@ -110,3 +110,25 @@ def two_tier_lookup(df: DataFrame, ref: DataFrame, fine: Sequence[str], coarse:
     agreed = lambda keys: ref.groupBy(*keys).agg(F.min(value).alias("_v"), F.countDistinct(value).alias("_k")).where("_k = 1").drop("_k")
     d = df.join(agreed(fine).withColumnRenamed("_v", "_v1"), list(fine), "left").join(agreed([coarse]).withColumnRenamed("_v", "_v2"), coarse, "left")
     return d.select(*df.columns, F.coalesce("_v1", "_v2").alias(value), F.when(F.col("_v1").isNotNull(), 1).when(F.col("_v2").isNotNull(), 2).otherwise(0).alias("tier"))
+
+
+def derived(df: DataFrame, ratios: dict[str, tuple[str, str]] | None = None, logs: dict[str, str] | None = None, clips: dict[str, tuple[str, float, float]] | None = None, floor: float = 1e-9) -> DataFrame:
+    """``df`` with ratios {out: (over, under)}, base-10 logarithms {out: column} (both of values raised to ``floor``) and
+    clipped columns {out: (column, low, high)}; a null stays null."""
+
+    def raised(c: str):
+        return F.when(F.col(c).isNotNull(), F.greatest(F.col(c).cast("double"), F.lit(floor)))
+
+    def clipped(c: str, lo: float, hi: float):
+        return F.when(F.col(c).isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.col(c).cast("double"))))
+
+    new = {o: F.col(a) / raised(b) for o, (a, b) in (ratios or {}).items()} | {o: F.log10(raised(c)) for o, c in (logs or {}).items()}
+    return df.withColumns(new | {o: clipped(*c) for o, c in (clips or {}).items()})
+
+
+def rename_prefix(df: DataFrame, prefix: str, to: str = "") -> DataFrame:
+    """``df`` with the prefix of its column names replaced; raises ValueError if two names would then be equal."""
+    names = [to + c[len(prefix) :] if c.startswith(prefix) else c for c in df.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"replacing {prefix!r} by {to!r} makes two columns of one name")
+    return df.toDF(*names)

@@ -75,3 +75,12 @@ def bootstrap_mean(df: DataFrame, value: str, samples: int = 100, seed: int = 19
     m = s.withColumn("k", k).groupBy("sample").agg((F.sum(F.col("k") * F.col("v")) / F.nullif(F.sum("k"), F.lit(0))).alias("m"))
     ends = m.agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
     return df.agg(F.avg(value).alias("mean")).join(F.broadcast(ends))
+
+
+def gradient_magnitudes(terms: DataFrame, coefficients: dict[str, float], scale: dict[str, float] | None = None) -> DataFrame:
+    """term, raw, effective and dominant: norms of gradients given as rows (term, obs_id, fold, g), the same times the
+    term's coefficient over its scale, and whether that is the largest (the first name of ties)."""
+    weigh = F.create_map(*(F.lit(x) for t, c in coefficients.items() for x in (t, float(c) / (scale or {}).get(t, 1.0))))
+    n = terms.groupBy("term").agg(F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("raw")).withColumn("effective", F.col("raw") * weigh[F.col("term")])
+    top = n.agg(F.min_by("term", F.struct(-F.col("effective"), F.col("term"))).alias("_top"))
+    return n.join(F.broadcast(top)).select("term", "raw", "effective", (F.col("term") == F.col("_top")).alias("dominant"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage
-from ..functions.prefix import next_value, percentiles, running_sums
+from ..functions.prefix import group_percentiles, next_value, percentiles, running_sums
 from ..functions.rng import gaussian
 from .folds import target_share
 
@@ -188,8 +188,29 @@ def sliced_wasserstein2(df: DataFrame, projections: int = 8, grid: int = 64, see
     from ..functions.vectors import dot
 
     rows = df.select("fold", x).join(F.broadcast(flat)).select("fold", "p", dot(F.col(x), F.col("_d")).alias("v"))
-    levels = F.array(*(F.lit((i + 0.5) / grid) for i in range(grid)))
-    every = rows.groupBy("p").agg(F.percentile("v", levels).alias("qa"))
-    each = rows.groupBy("p", "fold").agg(F.percentile("v", levels).alias("q"))
+    levels = [(i + 0.5) / grid for i in range(grid)]
+    every = group_percentiles(rows, ["p"], "v", levels).withColumnRenamed("q", "qa")
+    each = group_percentiles(rows, ["p", "fold"], "v", levels)
     gap = F.aggregate(F.zip_with("q", "qa", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) / grid
     return each.join(every, "p").select("fold", gap.alias("d")).groupBy("fold").agg(F.avg("d").alias("sw2"), (F.coalesce(F.stddev_samp("d"), F.lit(0.0)) / F.sqrt(F.count("*"))).alias("se"))
+
+
+def sliced_scale(df: DataFrame, k: int = 2, x: str = "x") -> DataFrame:
+    """One row, scale: k times the trace of the weighted covariance of a vector column, which the sliced term is held against."""
+    axes = df.select("w", F.posexplode(x).alias("axis", "v"))
+    mean = axes.groupBy("axis").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("_m"))
+    gap = F.col("v") - F.col("_m")
+    var = axes.join(F.broadcast(mean), "axis").groupBy("axis").agg((F.sum(F.col("w") * gap * gap) / F.sum("w")).alias("var"))
+    return var.agg((k * F.sum("var")).alias("scale"))
+
+
+def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """a, b, r: weighted population correlations of each two columns (a before b in ``columns``), in one pass over centred
+    values; rows with a null in any of them are left out, and r is null where a column is constant."""
+    d = df.dropna(subset=list(columns))
+    mean = d.agg(*((F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(f"_m_{c}") for c in columns))
+    d = d.join(F.broadcast(mean)).select("w", *((F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns))
+    two = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    s = d.agg(*(F.sum(F.col("w") * F.col(a) * F.col(b)).alias(f"_{a}_{b}") for a, b in two))
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(f"_{a}_{b}") / F.nullif(F.sqrt(F.col(f"_{a}_{a}") * F.col(f"_{b}_{b}")), F.lit(0.0))).alias("r")) for a, b in two if a != b]
+    return s.select(F.inline(F.array(*cells)))

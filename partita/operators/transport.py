@@ -85,3 +85,8 @@ def match_cost(df: DataFrame, targets: Sequence[Sequence[float]], eps: float = 0
     have = {r.fold for r in df.select("fold").distinct().collect()}
     out = [(k, sinkhorn(df.where(F.col("fold") == k), t, eps, rounds)[1] if k in have else 0.0) for k, t in enumerate(targets)]
     return df.sparkSession.createDataFrame(out, "fold int, cost double")
+
+
+def similarity_costs(edges: DataFrame) -> DataFrame:
+    """src, dst, val: costs 1 - similarity of edges, never below 0; pairs without an edge cost 1 and are not listed."""
+    return edges.select("src", "dst", F.greatest(1 - F.col("val"), F.lit(0.0)).alias("val"))

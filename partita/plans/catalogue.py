@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_assign, q_folds, q_graph, q_more, q_splits, q_stats, q_terms
+from . import q_assign, q_folds, q_graph, q_more, q_splits, q_stats, q_terms, q_wider
 
-_MODULES = (q_folds, q_stats, q_graph, q_assign, q_terms, q_more, q_splits)
+_MODULES = (q_folds, q_stats, q_graph, q_assign, q_terms, q_more, q_splits, q_wider)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,3 +278,32 @@ def multi_split(spec: SplitSpec, n_splits: int, strength: float = 0.05) -> tuple
         a = split(replace(spec, seed=spec.seed + n, noise=strength), scale).assignment.select(F.lit(f"s{n}").alias("config_id"), "obs_id", "fold")
         every = a if every is None else every.unionByName(a)
     return every, folds.hamming(every)
+
+
+def ablation(spec: SplitSpec) -> tuple[DataFrame, dict[str, SplitResult]]:
+    """A split for every choice of the hierarchy (H), cut (M) and discrepancy (D) terms that the input allows, with one set
+    of normalisers: config_id (the letters of the terms that are on) and the unweighted value of each term, on or off."""
+    scale = normalisers(spec)
+    have = [t for t, x in (("H", spec.hierarchy), ("M", spec.edges), ("D", spec.kernel)) if x is not None]
+    on = {"H": "alpha", "M": "beta", "D": "gamma"}
+    rows, results = [], {}
+    for n in range(1, len(have) + 1):
+        for chosen in itertools.combinations(have, n):
+            res = split(replace(spec, **{on[t]: 0.0 for t in have if t not in chosen}), scale)
+            t = _terms(replace(spec, alpha=1.0, beta=1.0, gamma=1.0), res.assignment, scale)
+            results["".join(chosen)] = res
+            rows.append(("".join(chosen), *(float(t[k]) if k in t else None for k in "HMD")))
+    return spec.obs.sparkSession.createDataFrame(rows, "config_id string, H double, M double, D double"), results
+
+
+def sweep_inputs(spec: SplitSpec, inputs: dict[str, dict]) -> tuple[DataFrame, dict[str, SplitResult]]:
+    """A split for each named replacement of parts of ``spec``: other edge tables, kernels, super-nodes of other sizes or
+    coefficients. config_id, the objective and the imbalance, each with normalisers of its own input."""
+    rows, results = [], {}
+    for name, change in inputs.items():
+        s = replace(spec, **change)
+        scale = normalisers(s)
+        results[name] = split(s, scale)
+        t = _terms(s, results[name].assignment, scale)
+        rows.append((name, float(t["composite"]), float(t["imbalance"])))
+    return spec.obs.sparkSession.createDataFrame(rows, "config_id string, composite double, imbalance double"), results

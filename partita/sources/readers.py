@@ -37,3 +37,33 @@ def read_edges(df: DataFrame, src: str = "src", dst: str = "dst", val: str = "va
     if symmetric:
         e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "val"))
     return e.groupBy("src", "dst").agg(F.max("val").alias("val"))
+
+
+def read_arrays(spark: SparkSession, x, w=None, y=None, first_id: int = 0, rows: int = 100_000) -> DataFrame:
+    """obs_id, x, w and, if given, y of matrices or lists in the driver's memory, sent as Arrow in slices of ``rows`` rows.
+    w is 1 where it is not given. Raises ValueError if lengths differ or ``x`` is not a matrix."""
+    import numpy as np
+    import pyarrow as pa
+
+    x = np.asarray(x, dtype="float64")
+    if x.ndim != 2 or any(v is not None and len(v) != len(x) for v in (w, y)):
+        raise ValueError("x is a matrix; w and y have a value for each of its rows")
+    w = np.ones(len(x)) if w is None else np.asarray(w, dtype="float64")
+    out = None
+    for i in range(0, max(len(x), 1), rows):
+        part = x[i : i + rows]
+        cols = {"obs_id": pa.array(np.arange(first_id + i, first_id + i + len(part)), pa.int64()), "x": pa.array(list(part), pa.list_(pa.float64())), "w": pa.array(w[i : i + rows], pa.float64())}
+        if y is not None:
+            cols["y"] = pa.array(np.asarray(y, dtype="float64")[i : i + rows], pa.float64())
+        d = spark.createDataFrame(pa.table(cols))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def read_sparse(spark: SparkSession, rows, cols, vals, symmetric: bool = True) -> DataFrame:
+    """An edge table of a sparse matrix's coordinates (three sequences of one length), as :func:`read_edges` makes it."""
+    import numpy as np
+    import pyarrow as pa
+
+    d = pa.table({"src": pa.array(np.asarray(rows), pa.int64()), "dst": pa.array(np.asarray(cols), pa.int64()), "val": pa.array(np.asarray(vals, dtype="float64"), pa.float64())})
+    return read_edges(spark.createDataFrame(d), symmetric=symmetric)
