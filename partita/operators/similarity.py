@@ -6,13 +6,16 @@ top-k keeps leave it. Rows with a null vector take no part. Ties go to the small
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut_lineage
+from ..functions.lineage import cut_lineage, small
 from ..functions.prefix import percentiles
+from ..functions.vectors import tanimoto
 
 BLOCK = 2048
 METRICS = ("cosine", "dot", "sqdist", "euclidean", "rbf", "laplace", "tanimoto")
@@ -64,22 +67,56 @@ def _join(left: DataFrame, right: DataFrame, pick, schema: str) -> DataFrame:
 _EDGE = "src long, dst long, val double"
 
 
+def _self_join(df: DataFrame, pick, keyed: bool = False) -> DataFrame:
+    """src, dst, val from every unordered pair of blocks of ``df``, once: ``pick(p, q, a, b, apart)`` gets two blocks and
+    whether they differ, and gives ids and values for both directions of their pairs.
+
+    With ``keyed`` only blocks of one part meet: a key of more than ``BLOCK`` rows is a part cut into blocks, smaller keys
+    share parts; rows with a null key are left out. Without, all rows are one part.
+    """
+    d = df.where("x is not null")
+    if keyed:
+        n = d.where("key is not null").groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
+        shared = F.concat(F.lit("s"), F.pmod(F.xxhash64("key"), F.lit(_blocks(d))).cast("string"))
+        d = d.join(small(n), F.col("key") == F.col("_key")).withColumn("_part", F.when(F.col("_n") > 1, F.concat(F.lit("k"), F.col("key").cast("string"))).otherwise(shared))
+    else:
+        d = d.withColumns({"_n": F.lit(_blocks(d)).cast("long"), "_part": F.lit("")})
+    keep = ["_part", *(c for c in ("obs_id", "x", "key") if c in df.columns)]
+    d = d.select(*keep, F.col("_n"), F.pmod(F.xxhash64("obs_id"), F.col("_n")).alias("_own"))
+    a = d.select(*keep, F.col("_own").alias("bl"), F.explode(F.sequence("_own", F.col("_n") - 1)).alias("br"))
+    b = d.select(*(F.col(c).alias(c) for c in keep), F.explode(F.sequence(F.lit(0).cast("long"), "_own")).alias("bl"), F.col("_own").alias("br"))
+
+    def run(place: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or q.empty:
+            return pd.DataFrame({"src": [], "dst": [], "val": []}).astype({"src": "int64", "dst": "int64"})
+        i, j, v = pick(p, q, np.array(p["x"].tolist(), np.float64), np.array(q["x"].tolist(), np.float64), place[1] != place[2])
+        return pd.DataFrame({"src": i, "dst": j, "val": v})
+
+    at = ["_part", "bl", "br"]
+    return a.groupBy(*at).cogroup(b.groupBy(*at)).applyInPandas(run, _EDGE)
+
+
+def _both_ways(p: pd.DataFrame, q: pd.DataFrame, i, j, v, apart: bool) -> tuple:
+    src, dst = p["obs_id"].to_numpy()[i], q["obs_id"].to_numpy()[j]
+    return (np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([v, v])) if apart else (src, dst, v)
+
+
 def edges_within(df: DataFrame, metric: str, bound: float, scale: float = 1.0, same_key: bool = False) -> DataFrame:
     """src, dst, val of all ordered pairs that are similar (val >= bound) or, for distances, near (val <= bound).
 
-    With ``same_key`` only rows with equal ``key`` are compared.
+    With ``same_key`` only rows with equal ``key`` are compared, and only their blocks meet; null keys equal nothing.
     """
 
-    def pick(p, q, a, b):
+    def pick(p, q, a, b, apart):
         v = block_values(a, b, metric, scale)
         ok = v <= bound if metric in DISTANCES else v >= bound
         ok &= p["obs_id"].to_numpy()[:, None] != q["obs_id"].to_numpy()
         if same_key:
             ok &= p["key"].to_numpy()[:, None] == q["key"].to_numpy()
         i, j = np.nonzero(ok)
-        return i, j, v[i, j]
+        return _both_ways(p, q, i, j, v[i, j], apart)
 
-    return _join(df, df, pick, _EDGE)
+    return _self_join(df, pick, same_key)
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "sqdist", scale: float = 1.0, other_key: bool = False) -> DataFrame:
@@ -107,23 +144,26 @@ def kernel_edges(df: DataFrame, metric: str = "rbf", scale: float = 1.0, most: i
     if df.count() > most:
         raise ValueError(f"a dense kernel of more than {most} rows: use nearest() for a sparse one")
 
-    def pick(p, q, a, b):
+    def pick(p, q, a, b, apart):
         v = block_values(a, b, metric, scale)
         i, j = np.divmod(np.arange(v.size), v.shape[1])
-        return i, j, v.ravel()
+        return _both_ways(p, q, i, j, v.ravel(), apart)
 
-    return _join(df, df, pick, _EDGE)
+    return _self_join(df, pick)
 
 
 def kernel_row_sums(df: DataFrame, metric: str = "rbf", scale: float = 1.0) -> DataFrame:
     """obs_id, row_sum of the dense kernel, diagonal included, for tables of any size: a block pair gives a sum a row, and
     no entry leaves its task. The work still grows with the square of the rows."""
 
-    def pick(p, q, a, b):
+    def pick(p, q, a, b, apart):
         v = block_values(a, b, metric, scale)
-        return np.arange(len(v)), np.zeros(len(v), int), v.sum(1)
+        src, val = p["obs_id"].to_numpy(), v.sum(1)
+        if apart:
+            src, val = np.concatenate([src, q["obs_id"].to_numpy()]), np.concatenate([val, v.sum(0)])
+        return src, src, val
 
-    return _join(df, df, pick, _EDGE).groupBy(F.col("src").alias("obs_id")).agg(F.sum("val").alias("row_sum"))
+    return _self_join(df, pick).groupBy(F.col("src").alias("obs_id")).agg(F.sum("val").alias("row_sum"))
 
 
 def symmetrise(edges: DataFrame, how: str = "max") -> DataFrame:
@@ -160,19 +200,27 @@ def set_edges(sets: DataFrame, bound: float, key: str | None = None) -> DataFram
     """src, dst, val: Tanimoto similarity of sets (obs_id, item rows, distinct) of at least ``bound``, by shared items.
 
     Pairs form only at items in a set's prefix, the ``n - ceil(bound n) + 1`` rarest items: two sets that reach the
-    bound share one of them. With ``key`` only sets with equal keys are compared.
+    bound share one of them. Bands of sizes are part of the join's key, and a pair stays only if what lies before and after
+    a shared item can still reach the bound. With ``key`` only sets with equal keys are compared, and null keys with none.
     """
     keys = [key] if key else []
     df_of = sets.groupBy("item").agg(F.count("*").alias("_df"))
-    n = F.count("*").over(Window.partitionBy("obs_id"))
-    r = F.row_number().over(Window.partitionBy("obs_id").orderBy("_df", "item"))
-    ranked = sets.join(df_of, "item").withColumns({"_n": n, "_r": r})
-    prefix = ranked.where(F.col("_r") <= F.col("_n") - F.ceil(F.lit(bound) * F.col("_n")) + 1).select("obs_id", "item", "_n", *keys)
-    a, b = prefix.withColumnsRenamed({"obs_id": "src", "_n": "na"}), prefix.withColumnsRenamed({"obs_id": "dst", "_n": "nb"})
-    pairs = a.join(b, ["item", *keys]).where(F.col("src") < F.col("dst")).where(f"na >= {bound} * nb and nb >= {bound} * na").select("src", "dst", "na", "nb").distinct()
-    left, right = sets.select(F.col("obs_id").alias("src"), "item"), sets.select(F.col("obs_id").alias("dst"), "item")
-    both = pairs.join(left, "src").join(right, ["dst", "item"]).groupBy("src", "dst", "na", "nb").agg(F.count("*").alias("c"))
-    hits = both.select("src", "dst", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("val")).where(F.col("val") >= bound)
+    ranked = sets.join(df_of, "item").groupBy("obs_id", *keys).agg(F.array_sort(F.collect_list(F.struct("_df", "item"))).alias("_s"))
+    ranked = cut_lineage(ranked.select("obs_id", *keys, F.size("_s").alias("_n"), F.transform("_s", lambda x: x["item"]).alias("_items")))
+    most = F.col("_n") - F.ceil(F.lit(bound) * F.col("_n")) + 1
+    prefix = ranked.select("obs_id", "_n", *keys, F.posexplode(F.slice("_items", F.lit(1), most.cast("int"))).alias("_r", "item"))
+    band = F.floor(F.log(F.col("_n").cast("double")) / -math.log(bound) + 1e-9).cast("int") if 0 < bound < 1 else F.col("_n") if bound >= 1 else F.lit(0)
+    near = [0, 1] if 0 < bound < 1 else [0]
+    a = prefix.select("item", *keys, F.col("obs_id").alias("_a"), F.col("_n").alias("_na"), F.col("_r").alias("_ra"), band.alias("_band"))
+    b = prefix.select("item", *keys, F.col("obs_id").alias("_b"), F.col("_n").alias("_nb"), F.col("_r").alias("_rb"), F.explode(F.array(*(band + x for x in near))).alias("_band"))
+    # Each pair meets with its larger set as ``a`` (or one of two equal sizes), one band above or in the same.
+    sizes = (F.col("_na") > F.col("_nb")) | (F.col("_na") == F.col("_nb")) & (F.col("_a") < F.col("_b"))
+    share = F.lit(bound / (1 + bound)) * (F.col("_na") + F.col("_nb")) - 1e-9
+    reach = F.least(F.col("_na") - F.col("_ra"), F.col("_nb") - F.col("_rb")) + F.least("_ra", "_rb")
+    pairs = a.join(b, ["item", "_band", *keys]).where(sizes & (F.col("_nb") >= F.lit(bound) * F.col("_na")) & (reach >= share)).select("_a", "_b").distinct()
+    one = ranked.select(F.col("obs_id").alias("_a"), F.col("_items").alias("_x"))
+    two = ranked.select(F.col("obs_id").alias("_b"), F.col("_items").alias("_y"))
+    hits = pairs.join(one, "_a").join(two, "_b").select(F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst"), tanimoto(F.col("_x"), F.col("_y")).alias("val")).where(F.col("val") >= bound)
     return hits.unionByName(hits.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "val"))
 
 
@@ -184,12 +232,12 @@ def two_channel_edges(df: DataFrame, bound: float) -> DataFrame:
         return df.sparkSession.createDataFrame([], _EDGE)
     n = cut[0].n
 
-    def pick(p, q, a, b):
+    def pick(p, q, a, b, apart):
         v = np.maximum(a[:, :n] @ b[:, :n].T, 0) * np.maximum(a[:, n:-1] @ b[:, n:-1].T, 0) * np.outer(a[:, -1], b[:, -1])
         i, j = np.nonzero((v >= bound) & (p["obs_id"].to_numpy()[:, None] != q["obs_id"].to_numpy()))
-        return i, j, v[i, j]
+        return _both_ways(p, q, i, j, v[i, j], apart)
 
-    return _join(d, d, pick, _EDGE)
+    return _self_join(d, pick)
 
 
 def augment_by_target(edges: DataFrame, targets: DataFrame, nu: float, justification: str) -> DataFrame:

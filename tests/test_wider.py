@@ -1,4 +1,4 @@
-"""Group quantiles over many ranges, class repair, entity folds, arrays, names, writers and grids, on small fixtures."""
+"""Group quantiles over many ranges, similarity joins over many blocks, class repair, entity folds, arrays, names, writers and grids, on small fixtures."""
 
 import json
 
@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partita.functions.prefix import group_percentiles
-from partita.operators import assign, coarsen, folds, prep, select, stratify
+from partita.operators import assign, coarsen, folds, prep, select, similarity, stratify
 from partita.plans.engine import SplitSpec, ablation, sweep_inputs
 from partita.sources import readers, writers
 
@@ -125,3 +125,46 @@ def test_grids_have_a_row_for_each_choice(spark):
     assert table.where("H > 1e-9 or M > 1e-9 or D is not null").count() == 0  # groups are whole, so nothing is cut
     swept, _ = sweep_inputs(spec, {"as is": {}, "half": {"beta": 0.5}})
     assert {x.config_id: x.imbalance for x in swept.collect()} == {"as is": 0.0, "half": 0.0}
+
+
+def _random_sets(spark, seed, n):
+    rng = np.random.default_rng(seed)
+    sets = {}
+    for i in range(n):
+        # small changes of a few templates, so that sizes and overlaps lie about the bound, and a hot item in every set
+        base = np.random.default_rng(i % 9).choice(60, 4 + 3 * (i % 9), replace=False)
+        sets[i] = {int(v) for v in base if rng.random() > 0.15} | {int(v) for v in rng.choice(60, rng.integers(0, 4))} | {99}
+    return sets, spark.createDataFrame([(i, f"t{v}", (None, "a", "b", "b")[i % 4]) for i, s in sets.items() for v in s], "obs_id long, item string, key string")
+
+
+@pytest.mark.parametrize("bound", [0.0, 0.3, 0.5, 0.6, 0.8, 1.0])
+@pytest.mark.parametrize("key", [None, "key"])
+def test_set_edges_equal_brute_force(spark, bound, key):
+    sets, rows = _random_sets(spark, 11, 60)
+    side = {i: (None, "a", "b", "b")[i % 4] for i in sets}
+    want = {}
+    for i, s in sets.items():
+        for j, t in sets.items():
+            v = len(s & t) / len(s | t)
+            if i != j and v >= bound and (key is None or side[i] is not None and side[i] == side[j]):
+                want[i, j] = v
+    got = similarity.set_edges(rows, bound, key).collect()
+    assert len(got) == len({(e.src, e.dst) for e in got}) and {(e.src, e.dst): e.val for e in got} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_blocks_meet_once_and_give_both_directions(spark, monkeypatch, keyed):
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(45, 3))
+    key = ["hot" if i < 30 else None if i == 44 else f"k{i % 3}" for i in range(45)]
+    df = spark.createDataFrame([(i, [float(v) for v in r], k) for i, (r, k) in enumerate(zip(x, key))] + [(100, None, "hot")], "obs_id long, x array<double>, key string")
+    d2 = ((x[:, None] - x) ** 2).sum(-1)
+    want = {(i, j) for i in range(45) for j in range(45) if i != j and d2[i, j] <= 2.0 and (not keyed or key[i] is not None and key[i] == key[j])}
+    got = [(e.src, e.dst) for e in similarity.edges_within(df, "sqdist", 2.0, same_key=keyed).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    if not keyed:
+        k = {(e.src, e.dst): e.val for e in similarity.kernel_edges(df, "rbf", 0.5).collect()}
+        assert len(k) == 45 * 45 and k[3, 40] == pytest.approx(np.exp(-0.5 * d2[3, 40]))
+        sums = {r.obs_id: r.row_sum for r in similarity.kernel_row_sums(df, "rbf", 0.5).collect()}
+        assert [sums[i] for i in range(45)] == pytest.approx(list(np.exp(-0.5 * d2).sum(1)))
