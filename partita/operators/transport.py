@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage
 from ..functions.vectors import logsumexp, total
 from .graph import with_folds
 
@@ -50,41 +51,72 @@ def bin_costs(df: DataFrame, centres: Sequence[float], y: str = "y") -> DataFram
     return d.join(F.broadcast(most)).withColumn("c", F.transform("_c", lambda v: v / F.col("_most"))).drop("_c", "_most")
 
 
-def sinkhorn(df: DataFrame, target: Sequence[float], eps: float = 0.05, rounds: int = 50, tol: float = 1e-9) -> tuple[list[float], float]:
-    """Column duals and cost of the entropic plan from rows (w, c array of costs) to ``target``.
+def _duals(df: DataFrame, targets: Sequence[Sequence[float]], eps: float, rounds: int, tol: float) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """Rows with mass, written once (fold, a, c and their own columns), and each fold's column duals.
 
-    Row duals are a row-local log-sum-exp; column duals are log-sum-exps over all rows, found by a maximum and a sum of
-    exponentials per column. The driver holds one number per column. Stops when no dual moves more than ``tol``.
+    One aggregate a round serves all folds: with the rows' duals set, plan entries exp((f + g - c) / eps) sum to a within a
+    row, so a column's mass P needs no maximum first, and its dual moves by eps log(b / P). Only a column whose mass would
+    vanish in double precision asks for a maximum. The driver holds one number per fold and column. A fold is done when
+    none of its duals moves by more than ``tol``.
     """
-    m = len(target)
-    b = np.array(target, float) / sum(target)
-    mass = df.agg(F.sum("w").alias("W")).first().W
-    rows = df.select((F.col("w") / F.lit(mass)).alias("a"), "c").where("a > 0")
-    g = np.zeros(m)
-
-    def with_f(g: np.ndarray) -> DataFrame:
-        lit = F.array(*(F.lit(float(x)) for x in g))
-        return rows.withColumn("f", F.lit(eps) * (F.log("a") - logsumexp(F.zip_with("c", lit, lambda c, x: (x - c) / eps))))
-
+    b = [np.array(t, float) / sum(t) for t in targets]
+    m = len(b[0])
+    mass = df.groupBy("fold").agg(F.sum("w").alias("_W"))
+    rows = df.join(F.broadcast(mass), "fold").withColumn("a", F.col("w") / F.col("_W")).where((F.col("a") > 0) & F.col("fold").between(0, len(b) - 1)).drop("_W")
+    rows = cut_lineage(rows)
+    g = {r.fold: np.zeros(m) for r in rows.select("fold").distinct().collect()}
+    open_ = set(g)
     for _ in range(rounds):
-        d = with_f(g)
-        z = [(F.col("f") - F.element_at("c", j + 1)) / eps for j in range(m)]
-        top = d.agg(*(F.max(x).alias(f"t{j}") for j, x in enumerate(z))).first()
-        sums = d.agg(*(F.sum(F.exp(x - F.lit(top[j]))).alias(f"s{j}") for j, x in enumerate(z))).first()
-        new = np.array([eps * (np.log(max(b[j], 1e-300)) - top[j] - np.log(sums[j])) for j in range(m)])
-        moved, g = float(np.abs(new - g).max()), new
-        if moved < tol:
+        if not open_:
             break
-    lit = F.array(*(F.lit(float(x)) for x in g))
-    plan = F.zip_with("c", lit, lambda c, x: c * F.exp((F.col("f") + x - c) / eps))
-    return g.tolist(), float(with_f(g).agg(F.sum(total(plan)).alias("cost")).first().cost)
+        d = _with_dual(rows.where(F.col("fold").isin(sorted(open_))), g, eps)
+        z = [(F.col("f") + F.element_at("g", j + 1) - F.element_at("c", j + 1)) / eps for j in range(m)]
+        for x in d.groupBy("fold").agg(*(F.sum(F.exp(v)).alias(f"s{j}") for j, v in enumerate(z)), *(F.max(v).alias(f"t{j}") for j, v in enumerate(z))).collect():
+            log_mass = np.array([np.log(x[f"s{j}"]) if x[f"s{j}"] > 1e-290 else x[f"t{j}"] for j in range(m)])
+            step = eps * (np.log(np.maximum(b[x.fold], 1e-300)) - log_mass)
+            g[x.fold] = g[x.fold] + step
+            if np.abs(step).max() < tol:
+                open_.discard(x.fold)
+    return rows, g
+
+
+def _with_dual(rows: DataFrame, g: dict[int, np.ndarray], eps: float) -> DataFrame:
+    """``rows`` with g (their fold's column duals) and f, the row dual that gives the row its mass."""
+    if not g:
+        return rows.withColumns({"g": F.lit(None).cast("array<double>"), "f": F.lit(None).cast("double")})
+    duals = F.create_map(*(x for k, v in sorted(g.items()) for x in (F.lit(k), F.array(*(F.lit(float(y)) for y in v)))))
+    d = rows.withColumn("g", F.element_at(duals, F.col("fold").cast("int")))
+    return d.withColumn("f", F.lit(eps) * (F.log("a") - logsumexp(F.zip_with("c", "g", lambda c, x: (x - c) / eps))))
+
+
+def _plan_costs(d: DataFrame, eps: float) -> dict[int, float]:
+    plan = F.zip_with("c", "g", lambda c, x: c * F.exp((F.col("f") + x - c) / eps))
+    return {r.fold: float(r.cost) for r in d.groupBy("fold").agg(F.sum(total(plan)).alias("cost")).collect()}
+
+
+def sinkhorn(df: DataFrame, target: Sequence[float], eps: float = 0.05, rounds: int = 50, tol: float = 1e-9) -> tuple[list[float], float]:
+    """Column duals and cost of the entropic plan from rows (w, c array of costs) to ``target``; zeros without rows."""
+    rows, g = _duals(df.drop("fold").withColumn("fold", F.lit(0)), [target], eps, rounds, tol)
+    if not g:
+        return [0.0] * len(target), 0.0
+    return g[0].tolist(), _plan_costs(_with_dual(rows, g, eps), eps)[0]
 
 
 def match_cost(df: DataFrame, targets: Sequence[Sequence[float]], eps: float = 0.05, rounds: int = 50) -> DataFrame:
     """fold, cost: transport cost of each fold's rows (fold, w, c) to the fold's target marginal; 0 for an empty fold."""
-    have = {r.fold for r in df.select("fold").distinct().collect()}
-    out = [(k, sinkhorn(df.where(F.col("fold") == k), t, eps, rounds)[1] if k in have else 0.0) for k, t in enumerate(targets)]
-    return df.sparkSession.createDataFrame(out, "fold int, cost double")
+    rows, g = _duals(df, targets, eps, rounds, 1e-9)
+    cost = _plan_costs(_with_dual(rows, g, eps), eps) if g else {}
+    return df.sparkSession.createDataFrame([(k, cost.get(k, 0.0)) for k in range(len(targets))], "fold int, cost double")
+
+
+def match_gradient(df: DataFrame, targets: Sequence[Sequence[float]], eps: float = 0.05, rounds: int = 50, weights: Sequence[float] | None = None) -> DataFrame:
+    """obs_id, fold, gradient of the matching term by a row's place in its fold: weight x (f - mean f) x w / W of the fold,
+    f being the row's dual and its mean that by mass, as duals are known up to a constant only."""
+    rows, g = _duals(df, targets, eps, rounds, 1e-9)
+    d = _with_dual(rows, g, eps)
+    mean = d.groupBy("fold").agg((F.sum(F.col("a") * F.col("f")) / F.sum("a")).alias("_f"))
+    rho = F.element_at(F.array(*(F.lit(float(x)) for x in weights or [1.0] * len(targets))), F.col("fold") + 1)
+    return d.join(F.broadcast(mean), "fold").select("obs_id", "fold", (rho * (F.col("f") - F.col("_f")) * F.col("a")).alias("gradient"))
 
 
 def similarity_costs(edges: DataFrame) -> DataFrame:

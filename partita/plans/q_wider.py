@@ -14,7 +14,7 @@ from .fixtures import CUSTOMERS, PARTS, VECTORS, customers, parts, table, vector
 from .q_assign import _HIER, _hier
 from .q_folds import _round
 from .q_graph import _EPS, EPS
-from .q_terms import _SAMPLES, _assignments
+from .q_terms import _CENTRES, _SAMPLES, _assignments, _costs
 
 R = (0.8, 0.2)
 _MATRIX = ((1.0, 2.0, 0.5), (0.0, -1.5, 4.0), (2.25, 0.0, 0.0))
@@ -79,6 +79,28 @@ QUERIES = {
     "split_inputs": _swept,
 }
 
+_TARGETS = [[0.2] * 5, [0.1, 0.2, 0.3, 0.2, 0.2]]
+QUERIES["match_gradient"] = lambda s, d: transport.match_gradient(_costs(s, d), _TARGETS).select("obs_id", "fold", F.round(F.col("gradient") * 1e6, 1).alias("gradient_e6"))
+
+
+def _match_sql(rounds: int) -> str:
+    """Rounds of the same updates for both folds, by recursion over arrays of duals."""
+    m = range(len(_CENTRES))
+    soft = "0.05::DOUBLE * (ln(a) - ln(" + " + ".join(f"exp((g[{j + 1}] - c[{j + 1}]) / 0.05::DOUBLE)" for j in m) + "))"
+    raw = ", ".join(f"abs(y - {c}) / most" for c in _CENTRES)
+    step = ", ".join(f"0.05::DOUBLE * (ln(b[{j + 1}]) - ln(sum(exp((f - c[{j + 1}]) / 0.05::DOUBLE))))" for j in m)
+    return (
+        f"WITH RECURSIVE {PARTS}, mx AS (SELECT max(greatest({', '.join(f'abs(y - {c})' for c in _CENTRES)})) AS most FROM parts), "
+        f"r AS MATERIALIZED (SELECT obs_id, fold, w / sum(w) OVER (PARTITION BY fold) AS a, [{raw}] AS c FROM parts, mx), "
+        f"tg AS (SELECT * FROM (VALUES (0, {_TARGETS[0]}::DOUBLE[]), (1, {_TARGETS[1]}::DOUBLE[])) t(fold, b)), "
+        "it AS (SELECT 0 AS i, fold, [0, 0, 0, 0, 0]::DOUBLE[] AS g FROM tg UNION ALL "
+        f"SELECT i + 1, fold, [{step}] FROM (SELECT it.i, it.fold, b, c, {soft} AS f FROM it JOIN r ON r.fold = it.fold JOIN tg ON tg.fold = it.fold WHERE i < {rounds}) GROUP BY i, fold, b), "
+        f"ff AS (SELECT r.*, g, {soft} AS f FROM r JOIN it ON it.fold = r.fold AND i = {rounds})"
+    )
+
+
+_PACK = f"WITH RECURSIVE {CUSTOMERS}, n AS (SELECT *, row_number() OVER (ORDER BY mass DESC, nation::VARCHAR) AS k, sum(mass) OVER () AS total FROM (SELECT nation, sum(w) AS mass FROM customers GROUP BY 1)), p AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS nation, -1 AS f, 0::DOUBLE AS h0, 0::DOUBLE AS h1 UNION ALL SELECT k, nation, f, CASE WHEN f = 0 THEN h0 + mass ELSE h0 END, CASE WHEN f = 1 THEN h1 + mass ELSE h1 END FROM (SELECT n.k, n.nation, mass, h0, h1, CASE WHEN 0.8::DOUBLE * total - h0 >= 0.2::DOUBLE * total - h1 THEN 0 ELSE 1 END AS f FROM p JOIN n ON n.k = p.k + 1))"
+
 _RANGE = "SELECT fold, least(floor(({0} - lo) / (hi - lo) * 32), 31)::INT AS b FROM parts, (SELECT min({0}) - 1e-6::DOUBLE AS lo, max({0}) + 1e-6::DOUBLE AS hi FROM parts)"
 _MI = "(SELECT sum(n / a * ln(n * a / (nf * nl))) FROM (SELECT n, sum(n) OVER (PARTITION BY fold) AS nf, sum(n) OVER (PARTITION BY b) AS nl, sum(n) OVER () AS a FROM (SELECT fold, b, count(*)::DOUBLE AS n FROM ({0}) GROUP BY 1, 2)))"
 
@@ -107,6 +129,9 @@ ORACLE = {
     "similarity_costs": f"WITH {_EPS} SELECT src, dst, round(greatest(1 - val, 0), 6) AS val FROM edges",
     "source_arrays": "SELECT i::BIGINT AS obs_id, a::INT AS axis, v::DOUBLE AS v, 1::DOUBLE AS w, (i + 0.5)::DOUBLE AS y FROM (VALUES " + ", ".join(f"({i}, {a}, {v})" for i, row in enumerate(_MATRIX) for a, v in enumerate(row)) + ") t(i, a, v)",
     "source_sparse": "SELECT src::BIGINT AS src, dst::BIGINT AS dst, val::DOUBLE AS val FROM (VALUES (0, 1, 0.75), (1, 0, 0.75), (2, 0, 0.25), (0, 2, 0.25)) t(src, dst, val)",
+    "match_gradient": _match_sql(50) + ", m AS (SELECT fold, sum(a * f) / sum(a) AS mean FROM ff GROUP BY 1) SELECT obs_id, ff.fold, round((f - mean) * a * 1e6, 1) AS gradient_e6 FROM ff JOIN m ON m.fold = ff.fold",
+    "match_cost": _match_sql(50) + " SELECT fold, round(sum(" + " + ".join(f"c[{j}] * exp((f + g[{j}] - c[{j}]) / 0.05::DOUBLE)" for j in range(1, 6)) + "), 4) AS cost FROM ff GROUP BY fold",
+    "hierarchy_pack_init": _PACK + " SELECT obs_id, f::INT AS fold FROM customers JOIN p ON p.nation = customers.nation",
     "split_ablation": "SELECT c AS config_id, true AS h_given, true AS m_given, true AS d_absent FROM (VALUES ('H'), ('M'), ('HM')) t(c)",
     "split_inputs": "SELECT c AS config_id, true AS balanced, true AS valued FROM (VALUES ('cosine_0.3'), ('cosine_0.4'), ('supers_40')) t(c)",
 }

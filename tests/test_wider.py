@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partita.functions.prefix import group_percentiles
-from partita.operators import assign, coarsen, folds, prep, select, similarity, stratify
+from partita.operators import assign, coarsen, folds, prep, select, similarity, stratify, transport
 from partita.plans.engine import SplitSpec, ablation, sweep_inputs
 from partita.sources import readers, writers
 
@@ -168,3 +168,26 @@ def test_blocks_meet_once_and_give_both_directions(spark, monkeypatch, keyed):
         assert len(k) == 45 * 45 and k[3, 40] == pytest.approx(np.exp(-0.5 * d2[3, 40]))
         sums = {r.obs_id: r.row_sum for r in similarity.kernel_row_sums(df, "rbf", 0.5).collect()}
         assert [sums[i] for i in range(45)] == pytest.approx(list(np.exp(-0.5 * d2).sum(1)))
+
+
+def test_sinkhorn_of_folds_equals_numpy(spark):
+    rng = np.random.default_rng(21)
+    c, w, fold = rng.random((40, 3)) * 3, rng.random(40) + 0.1, np.arange(40) % 3
+    targets = [[0.2, 0.5, 0.3], [1.0, 1.0, 2.0], [0.0, 0.5, 0.5], [0.5, 0.25, 0.25]]
+    df = spark.createDataFrame([(i, int(fold[i]), float(w[i]), [float(v) for v in c[i]]) for i in range(40)], "obs_id long, fold int, w double, c array<double>")
+    eps, cost, grad = 0.05, {}, {}
+    for k in range(3):
+        at = np.flatnonzero(fold == k)
+        a, b, g = w[at] / w[at].sum(), np.maximum(np.array(targets[k]) / sum(targets[k]), 1e-300), np.zeros(3)
+        soft = lambda z: (z.max(1) + np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)))
+        for _ in range(40):
+            f = eps * (np.log(a) - soft((g - c[at]) / eps))
+            g = eps * (np.log(b) - soft(((f[:, None] - c[at]) / eps).T))
+        f = eps * (np.log(a) - soft((g - c[at]) / eps))
+        cost[k] = (c[at] * np.exp((f[:, None] + g - c[at]) / eps)).sum()
+        grad |= {int(i): 2.0 * (f[n] - (a * f).sum()) * a[n] for n, i in enumerate(at)}
+    got = {r.fold: r.cost for r in transport.match_cost(df, targets, eps, 40).collect()}
+    assert got == pytest.approx(cost | {3: 0.0}, abs=1e-6)
+    g = {r.obs_id: r.gradient for r in transport.match_gradient(df, targets, eps, 40, [2.0] * 4).collect()}
+    assert g == pytest.approx(grad, abs=1e-6)
+    assert transport.match_gradient(df.limit(0), targets).count() == 0 and transport.sinkhorn(df.limit(0), targets[0]) == ([0.0] * 3, 0.0)
