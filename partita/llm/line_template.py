@@ -24,6 +24,9 @@ from .common import discard, documents, only, small, written
 
 LEADING, SIMILARITY, MIN_DOCS = 3, 0.6, 2
 
+#: Constant tokens up to which the leaves' lists are broadcast.
+BROADCAST_TOKENS = 4_000_000
+
 _BLANKS = " \t\r\f\x0b"
 
 
@@ -73,19 +76,27 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     forms = written(forms, "line-forms")
     several = forms.groupBy("leaf").agg(F.sum("w").alias("all"), F.count("*").alias("forms")).where("forms > 1").select("leaf", "all")
     several = written(several, "line-several")
-    spread = forms.where(F.size("tail") > 0).join(small(several), "leaf").select("leaf", "line", "all", "w", F.size("tail").alias("n"), F.posexplode("tail").alias("at", "token"))
-    constant = spread.groupBy("leaf", "at", "token").agg(F.sum("w").alias("w"), F.first("all").alias("all")).where("2 * w > all").select("leaf", "at", "token")
-    agree = spread.join(constant, ["leaf", "at", "token"]).groupBy("leaf", "line").agg(F.count("*").alias("same"), F.first("n").alias("n")).where(F.col("same") >= F.lit(similarity) * F.col("n"))
+    spread = forms.where(F.size("tail") > 0).join(small(several), "leaf").select("leaf", "all", "w", F.posexplode("tail").alias("at", "token"))
+    constant = spread.groupBy("leaf", "at", "token").agg(F.sum("w").alias("w"), F.first("all").alias("all")).where("2 * w > all")
+    # At most one token a position is constant, so a leaf's list is no longer than one of its lines.
+    constants = written(constant.groupBy("leaf").agg(F.collect_list(F.struct("at", "token")).alias("constants")), "line-constants")
+    tokens = constants.agg(F.coalesce(F.sum(F.size("constants")), F.lit(0))).head()[0]
+    whole = forms.where(F.size("tail") > 0).join(small(constants) if tokens <= BROADCAST_TOKENS else constants, "leaf")
+    same = F.aggregate("constants", F.lit(0), lambda n, c: n + F.when(F.get("tail", c["at"]) == c["token"], 1).otherwise(0))
+    agree = whole.where(same >= F.lit(similarity) * F.size("tail")).select("leaf", "line", F.lit(True).alias("general"))
     # Written first: a line that a third of all documents has is then split by the skew join, or not shuffled at all.
-    agree = written(agree.select("leaf", "line", F.lit(True).alias("general")), "line-agree")
+    agree = written(agree, "line-agree")
+    discard(forms, several, constants)
     placed = found.select("doc_id", "th", "pos", "leaf", "line").join(small(agree), ["leaf", "line"], "left")
     named = placed.select("doc_id", "th", "pos", F.when(F.col("general"), F.struct(F.col("leaf").alias("a"), F.lit(0).cast("long").alias("b"))).otherwise(F.col("line")).alias("template"))
     named = written(named, "line-named")
-    discard(forms, found, agree, several)
+    discard(found, agree)
 
     first = named.groupBy("template", "th").agg(F.min("doc_id").alias("doc_id")).groupBy("template").agg(F.count("*").alias("texts"), F.min(F.struct("doc_id", "th")).alias("first"))
     often = written(first.where(F.col("texts") >= min_docs).select("template", F.col("first.th").alias("keeper")), "line-often")
     dropped = named.join(small(often), "template").where("th <> keeper").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+    dropped = written(dropped, "line-drops")
+    discard(named, often)
     return dropped
 
 
@@ -96,7 +107,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = S
     dropped. Rows that repeat a doc_id and text lose the same lines; a null doc_id is one more value, the smallest.
     Other columns pass through, but for ones that are themselves called n_lines or n_dropped, which are replaced.
     """
-    drops = written(recurring_lines(docs, min_docs, similarity), "line-drops").select(F.col("doc_id").alias("_lt_doc"), F.col("th").alias("_lt_th"), F.col("drop").alias("_lt_drop"))
+    drops = recurring_lines(docs, min_docs, similarity).select(F.col("doc_id").alias("_lt_doc"), F.col("th").alias("_lt_th"), F.col("drop").alias("_lt_drop"))
     joined = docs.join(small(drops), F.col("doc_id").eqNullSafe(F.col("_lt_doc")) & (_identity(F.col("text")) == F.col("_lt_th")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("_lt_drop", F.array().cast("array<int>")), i))
     text = F.when(F.col("_lt_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
