@@ -25,7 +25,7 @@ from .common import discard, documents, only, small, written
 LEADING, SIMILARITY, MIN_DOCS = 3, 0.6, 2
 
 #: Constant tokens up to which the leaves' lists are broadcast.
-BROADCAST_TOKENS = 4_000_000
+BROADCAST_TOKENS = 500_000
 
 _BLANKS = " \t\r\f\x0b"
 
@@ -36,15 +36,16 @@ def _bare(line: Column) -> Column:
 
 def _spaced(line: Column) -> Column:
     """The line's tokens, one space between them. Only lines with other blanks, or several, meet a regular expression."""
-    bare = _bare(line)
-    odd = bare.contains("  ")
+    odd = line.contains("  ")
     for c in _BLANKS[1:]:
-        odd = odd | bare.contains(c)
-    return F.when(odd, F.regexp_replace(bare, r"[ \t\r\f\x0B]+", " ")).otherwise(bare)
+        odd = odd | line.contains(c)
+    return F.when(odd, F.regexp_replace(_bare(line), r"[ \t\r\f\x0B]+", " ")).otherwise(_bare(line))
 
 
-def _masked(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
+def _masked(line: Column) -> Column:
+    """The tokens of a line, masked. Only lines with a digit are looked at token by token."""
+    tokens = F.split(line, " ")
+    return F.when(line.rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))).otherwise(tokens)
 
 
 def _identity(c: Column) -> Column:
@@ -57,10 +58,12 @@ def _lines(docs: DataFrame) -> DataFrame:
 
     The number of tokens and the leading ones are found without splitting the line.
     """
-    base = only(docs, "doc_id", "text").where("text is not null").select("doc_id", _identity(F.col("text")).alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # The hash of the text comes before the lines: beside a generator it would be taken anew for each line.
+    whole = only(docs, "doc_id", "text").where("text is not null").withColumn("th", _identity(F.col("text")))
+    base = whole.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = base.where(_bare(F.col("line")) != "").select("doc_id", "th", "pos", _spaced(F.col("line")).alias("line"))
     blanks = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
-    return lines.withColumn("leaf", F.xxhash64(blanks, _masked(F.split(F.substring_index("line", " ", LEADING), " "))))
+    return lines.withColumn("leaf", F.xxhash64(blanks, _masked(F.substring_index("line", " ", LEADING))))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
@@ -68,7 +71,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     lines = _lines(docs)
     leaves = lines.select("leaf", "th").distinct().groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs).select("leaf")
     leaves = written(leaves, "line-leaves")
-    masked = lines.join(small(leaves), "leaf").select("doc_id", "th", "pos", "leaf", _masked(F.split("line", " ")).alias("tokens"))
+    masked = lines.join(small(leaves), "leaf").select("doc_id", "th", "pos", "leaf", _masked(F.col("line")).alias("tokens"))
     found = written(masked.select("doc_id", "th", "pos", "leaf", _identity(F.col("tokens")).alias("line"), F.transform(F.slice("tokens", F.lit(LEADING + 1), F.size("tokens")), lambda t: F.xxhash64(t)).alias("tail")), "line-found")
     discard(leaves)
 
