@@ -37,11 +37,20 @@ def moment_residual(df: DataFrame, omega: Sequence[float] = (1.0, 1.0, 1.0, 1.0)
     return moments(df).join(F.broadcast(m)).select("fold", sum(terms[1:], terms[0]).alias("residual"))
 
 
-def moment_gradient(df: DataFrame) -> DataFrame:
-    """obs_id, gradient of the mean's squared residual by the row's share in its fold: 2 (mean_k - mean) (y - mean_k) w / W_k."""
-    m = moments(df).select("fold", F.col("mass").alias("_W"), F.col("mean").alias("_k"))
-    every = overall_moments(df).select(F.col("mean").alias("_m"))
-    return df.join(F.broadcast(m), "fold").join(F.broadcast(every)).select("obs_id", (2 * (F.col("_k") - F.col("_m")) * (F.col("y") - F.col("_k")) * F.col("w") / F.col("_W")).alias("gradient"))
+def moment_gradient(df: DataFrame, omega: Sequence[float] = (1.0, 0.0, 0.0, 0.0)) -> DataFrame:
+    """obs_id, gradient of the omega-weighted squared residuals by the row's share in its fold; by default of the mean's
+    alone, 2 (mean_k - mean) (y - mean_k) w / W_k. With c = y - mean_k the p-th central moment moves by
+    (c**p - m_p - p m_(p-1) c) w / W_k."""
+    names = ("mean", "m2", "m3", "m4")
+    m = moments(df).select("fold", F.col("mass").alias("_W"), *(F.col(n).alias(f"_k_{n}") for n in names))
+    every = overall_moments(df).select(*(F.col(n).alias(f"_a_{n}") for n in names))
+    c, lower = F.col("y") - F.col("_k_mean"), {1: F.lit(1.0), 2: F.lit(0.0), 3: F.col("_k_m2"), 4: F.col("_k_m3")}
+    parts = []
+    for i, (n, o) in enumerate(zip(names, omega), 1):
+        if o:
+            step = c if i == 1 else F.pow(c, F.lit(i)) - F.col(f"_k_{n}") - i * lower[i] * c
+            parts.append(2 * F.lit(float(o)) * (F.col(f"_k_{n}") - F.col(f"_a_{n}")) * step)
+    return df.join(F.broadcast(m), "fold").join(F.broadcast(every)).select("obs_id", (sum(parts, F.lit(0.0)) * F.col("w") / F.col("_W")).alias("gradient"))
 
 
 def moment_scale(df: DataFrame) -> DataFrame:
@@ -177,17 +186,22 @@ def mann_whitney(df: DataFrame, y: str = "y") -> DataFrame:
     return g.select(u.alias("u"), (u / (F.col("n0") * F.col("n1"))).alias("share"))
 
 
-def sliced_wasserstein2(df: DataFrame, projections: int = 8, grid: int = 64, seed: int = 5, x: str = "x", k: int = 2) -> DataFrame:
-    """fold, sw2, se: the mean over random directions of the squared quantile differences between a fold's projections and
-    those of all rows, and its Monte-Carlo error. Directions come from the portable hash."""
+def _projected(df: DataFrame, projections: int, seed: int, x: str, *columns: str) -> DataFrame:
+    """``columns``, p and v: each row on each of a few random unit directions, which come from the portable hash."""
+    from ..functions.vectors import dot
+
     axes = df.select(F.posexplode(x).alias("axis", "v")).select("axis").distinct()
     dirs = axes.select("axis", F.explode(F.sequence(F.lit(0), F.lit(projections - 1))).alias("p"))
     dirs = dirs.withColumn("g", gaussian(F.col("p") * 100003 + F.col("axis"), seed))
     dirs = dirs.withColumn("g", F.col("g") / F.sqrt(F.sum(F.col("g") * F.col("g")).over(Window.partitionBy("p"))))
     flat = dirs.groupBy("p").agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "g"))), lambda s: s["g"]).alias("_d"))
-    from ..functions.vectors import dot
+    return df.select(*columns, x).join(F.broadcast(flat)).select(*columns, "p", dot(F.col(x), F.col("_d")).alias("v"))
+
 
-    rows = df.select("fold", x).join(F.broadcast(flat)).select("fold", "p", dot(F.col(x), F.col("_d")).alias("v"))
+def sliced_wasserstein2(df: DataFrame, projections: int = 8, grid: int = 64, seed: int = 5, x: str = "x", k: int = 2) -> DataFrame:
+    """fold, sw2, se: the mean over random directions of the squared quantile differences between a fold's projections and
+    those of all rows, and its Monte-Carlo error."""
+    rows = _projected(df, projections, seed, x, "fold")
     levels = [(i + 0.5) / grid for i in range(grid)]
     every = group_percentiles(rows, ["p"], "v", levels).withColumnRenamed("q", "qa")
     each = group_percentiles(rows, ["p", "fold"], "v", levels)
@@ -195,6 +209,23 @@ def sliced_wasserstein2(df: DataFrame, projections: int = 8, grid: int = 64, see
     return each.join(every, "p").select("fold", gap.alias("d")).groupBy("fold").agg(F.avg("d").alias("sw2"), (F.coalesce(F.stddev_samp("d"), F.lit(0.0)) / F.sqrt(F.count("*"))).alias("se"))
 
 
+def sliced_gradient(df: DataFrame, projections: int = 8, grid: int = 64, seed: int = 5, x: str = "x") -> DataFrame:
+    """obs_id, fold, gradient for each fold that has rows: w / W of the fold times the mean over directions of the squared
+    distance from the row's projection to the value that all rows have at the row's level in the fold.
+
+    The level is the number of the fold's grid quantiles not above the projection; the quantiles are a row of ``grid``
+    numbers a direction and fold, which is what is broadcast."""
+    rows = _projected(df, projections, seed, x, "obs_id", "w", "fold")
+    levels = [(i + 0.5) / grid for i in range(grid)]
+    every = group_percentiles(rows, ["p"], "v", levels).withColumnRenamed("q", "_qa")
+    each = group_percentiles(rows, ["p", "fold"], "v", levels).join(every, "p").select("p", F.col("fold").alias("_f"), F.col("q").alias("_q"), "_qa")
+    mass = df.groupBy(F.col("fold").alias("_f")).agg(F.sum("w").alias("_W"))
+    at = F.least(F.greatest(F.size(F.filter("_q", lambda q: q <= F.col("v"))), F.lit(1)), F.lit(grid))
+    gap = F.col("v") - F.element_at("_qa", at)
+    d = rows.drop("fold").join(F.broadcast(each.join(mass, "_f")), "p")
+    return d.groupBy("obs_id", F.col("_f").alias("fold")).agg((F.avg(gap * gap) * F.first(F.col("w") / F.col("_W"))).alias("gradient"))
+
+
 def sliced_scale(df: DataFrame, k: int = 2, x: str = "x") -> DataFrame:
     """One row, scale: k times the trace of the weighted covariance of a vector column, which the sliced term is held against."""
     axes = df.select("w", F.posexplode(x).alias("axis", "v"))

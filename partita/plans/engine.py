@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage
+from ..functions.prefix import row_numbers
 from ..functions.rng import gaussian, uniform
 from ..operators import assign as asg
-from ..operators import folds, graph, stratify, transport
+from ..operators import folds, graph, similarity, stratify, transport
 from ..operators.select import pareto, recommend, stage0_cut
 
 
@@ -34,7 +35,12 @@ class SplitSpec:
     edges: DataFrame | None = None  # src, dst, val: the cut term
     kernel: DataFrame | None = None  # src, dst, val: the term that drives folds apart
     hierarchy: str | None = None  # a column of obs whose groups are to stay whole
-    stratify: bool | str = False  # by quantiles of y (True or "quantile"), or by its moments ("moment")
+    levels: DataFrame | None = None  # level, lam: levels of groups that are alike, with
+    members: DataFrame | None = None  # level, group_id, obs_id, and
+    level_edges: DataFrame | None = None  # level, g, h, s: whole groups that are alike are to share a fold
+    match: tuple[float, ...] | None = None  # centres of bins of y: the term that pulls folds to target marginals over them
+    targets: tuple[tuple[float, ...], ...] | None = None  # each fold's marginal; that of all rows if not given
+    stratify: bool | str = False  # by quantiles of y (True or "quantile"), its moments ("moment") or slices of x ("sliced")
     entity: str | None = None  # a column of obs whose rows may not straddle folds
     other: str | None = None  # a second entity column
     cold: str = "left"  # which may not straddle: "left" (entity), "right" (other), or "both"
@@ -52,6 +58,7 @@ class SplitSpec:
     patience: int = 3
     seed: int = 42
     least_moved: float = 0.0  # end where a smaller share of rows changes fold
+    least_gain: float = 0.0  # end where the objective changes by a smaller share of itself
 
     @property
     def r(self) -> tuple[float, ...]:
@@ -67,8 +74,19 @@ class SplitSpec:
         have = set(self.obs.columns)
         if not {"obs_id", "w"} <= have:
             raise ValueError("obs needs obs_id and w")
-        if self.edges is None and self.kernel is None and not self.hierarchy and not self.stratify:
-            raise ValueError("at least one term is needed: edges, kernel, hierarchy or stratify")
+        if self.edges is None and self.kernel is None and not self.hierarchy and not self.stratify and not self.match and self.levels is None:
+            raise ValueError("at least one term is needed: edges, kernel, match, hierarchy, levels or stratify")
+        if self.match and self.kernel is not None:
+            raise ValueError("folds are driven apart by the kernel or matched to targets, not both")
+        if self.match and ("y" not in have or len(self.match) < 2):
+            raise ValueError("match needs y and two bins at least")
+        if self.targets and (not self.match or len(self.targets) != len(self.r) or any(len(t) != len(self.match) or min(t) < 0 or sum(t) <= 0 for t in self.targets)):
+            raise ValueError("targets need match, and one marginal over its bins for each fold")
+        given = [x is not None for x in (self.levels, self.members, self.level_edges)]
+        if any(given) and not all(given):
+            raise ValueError("levels, members and level_edges belong together")
+        if self.hierarchy and self.levels is not None:
+            raise ValueError("groups come from one column (hierarchy) or from levels, not both")
         if self.edges is not None and not self.provenance:
             raise ValueError("edges need a provenance")
         if not 0 < self.share < 1:
@@ -79,12 +97,12 @@ class SplitSpec:
             raise ValueError("the kernel term drives two folds apart")
         if self.cold not in ("left", "right", "both") or self.cold != "left" and not self.other or self.cold == "both" and not self.entity:
             raise ValueError("cold is left, right (needs other) or both (needs entity and other)")
-        if self.stratify not in (False, True, "quantile", "moment"):
-            raise ValueError("stratify is quantile or moment")
+        if self.stratify not in (False, True, "quantile", "moment", "sliced"):
+            raise ValueError("stratify is quantile, moment or sliced")
         if self.eps < 0 or min(self.alpha, self.beta, self.gamma, self.mu, self.eta, self.noise) < 0:
             raise ValueError("coefficients must not be negative")
-        if self.stratify and "y" not in have:
-            raise ValueError("stratify needs y")
+        if self.stratify and ("x" if self.stratify == "sliced" else "y") not in have:
+            raise ValueError("stratify needs y, or x for slices")
         for c in (self.hierarchy, self.entity, self.other, self.supers):
             if c and c not in have:
                 raise ValueError(f"obs has no column {c}")
@@ -102,13 +120,51 @@ class SplitSpec:
 class SplitResult:
     assignment: DataFrame
     history: list[dict] = field(default_factory=list)
-    stopped: str = ""  # why rounds ended: "patience", "rounds", "still" (few rows or none moved)
+    stopped: str = ""  # why rounds ended: "patience", "rounds", "still" (few rows or none moved), "flat" (little gained)
 
     def history_table(self) -> DataFrame:
         rows = [(h["iteration"], t, float(h[t])) for h in self.history for t in h if t != "iteration"]
         return self.assignment.sparkSession.createDataFrame(rows, "iteration int, term string, value double")
 
 
+def level_tables(obs: DataFrame, lam: dict[str, float], eps: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Levels (level, lam), members (level, group_id, obs_id) and edges (level, g, h, s) from columns of ``obs``.
+
+    Every group is its own edge with s = 1, so split groups cost; with ``eps`` groups whose weighted mean vectors of x have
+    a cosine of at least ``eps`` are edges too, each unordered pair once. Null group values belong to no group.
+    """
+    levels = obs.sparkSession.createDataFrame([(c, float(v)) for c, v in lam.items()], "level string, lam double")
+    members = edges = None
+    for c in lam:
+        d = obs.where(F.col(c).isNotNull()).withColumn("group_id", F.col(c).cast("string"))
+        m = d.select(F.lit(c).alias("level"), "group_id", "obs_id")
+        e = m.select("level", F.col("group_id").alias("g"), F.col("group_id").alias("h"), F.lit(1.0).alias("s")).distinct()
+        if eps is not None:
+            axes = d.select("group_id", "w", F.posexplode("x").alias("axis", "v")).groupBy("group_id", "axis").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+            mean = axes.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "m"))), lambda s: s["m"]).alias("x"))
+            ids = cut_lineage(row_numbers(mean, "group_id", "_n", ties=()).select(F.col("_n").cast("long").alias("obs_id"), "group_id", "x"))
+            near = similarity.edges_within(ids.select("obs_id", "x"), "cosine", eps).where("src < dst")
+            name = ids.select("obs_id", "group_id")
+            near = near.join(name.withColumnsRenamed({"obs_id": "src", "group_id": "g"}), "src").join(name.withColumnsRenamed({"obs_id": "dst", "group_id": "h"}), "dst")
+            e = e.unionByName(near.select(F.lit(c).alias("level"), "g", "h", F.col("val").alias("s")))
+        members, edges = (m, e) if members is None else (members.unionByName(m), edges.unionByName(e))
+    return levels, members, edges
+
+
+def _costs(spec: SplitSpec, d: DataFrame) -> tuple[DataFrame, list[list[float]]]:
+    """Rows with a y (obs_id, fold, w, c) and each fold's target marginal over the bins."""
+    d = transport.bin_costs(d.where("y is not null"), spec.match)
+    if spec.targets:
+        return d, [list(t) for t in spec.targets]
+    nearest = F.array_position("c", F.array_min("c"))
+    mass = {r.b: r.m for r in d.groupBy(nearest.alias("b")).agg(F.sum("w").alias("m")).collect()}
+    return d, [[mass.get(i + 1, 0.0) + 1e-12 for i in range(len(spec.match))]] * len(spec.r)
+
+
+def _whole(spec: SplitSpec, cur: DataFrame) -> DataFrame:
+    return spec.members.join(cur, "obs_id").select("level", "group_id", "obs_id", "fold")
+
+
 def _terms(spec: SplitSpec, cur: DataFrame, scale: dict[str, float]) -> dict[str, float]:
     """The terms' values, scaled, and the objective."""
     r = spec.r
@@ -118,12 +174,19 @@ def _terms(spec: SplitSpec, cur: DataFrame, scale: dict[str, float]) -> dict[str
         m = d.select(F.lit("h").alias("level"), F.col(spec.hierarchy).alias("group_id"), "fold", "w")
         row = folds.minority_mass(m).first()
         out["H"] = spec.alpha * (row.minority if row else 0.0) / scale["W"]
+    if spec.levels is not None:
+        out["H"] = spec.alpha * asg.hierarchy_value(_whole(spec, cur), spec.level_edges, spec.levels).first().value / scale["levels"]
     if spec.edges is not None:
         out["M"] = spec.beta * graph.cut_energy(spec.edges, cur).first().energy / scale["cut"]
     if spec.kernel is not None:
         row = transport.mmd_pairs(spec.kernel, d).first()
         out["D"] = -spec.gamma * (row.mmd2 if row else 0.0) / scale["kernel"]
-    if spec.stratify == "moment":
+    if spec.match:
+        rows, targets = _costs(spec, d)
+        out["D"] = spec.gamma * sum(r[x.fold] * x.cost for x in transport.match_cost(rows, targets, rounds=20).collect())
+    if spec.stratify == "sliced":
+        out["S"] = spec.mu * (stratify.sliced_wasserstein2(d).agg(F.sum("sw2")).first()[0] or 0.0) / scale["strata"]
+    elif spec.stratify == "moment":
         out["S"] = spec.mu * (stratify.moment_residual(d).agg(F.sum("residual")).first()[0] or 0.0) / scale["strata"]
     elif spec.stratify:
         b = stratify.quantile_bins(d, 10)
@@ -146,8 +209,18 @@ def _gradients(spec: SplitSpec, cur: DataFrame, scale: dict[str, float]) -> Data
         add(graph.cut_gradient(spec.edges, cur, k), spec.beta / scale["cut"])
     if spec.kernel is not None:
         add(transport.mmd_gradient(spec.kernel, d).join(cur, "obs_id"), spec.gamma / scale["kernel"])
-    if spec.stratify == "moment":
-        add(stratify.moment_gradient(d).join(cur, "obs_id"), spec.mu / scale["strata"])
+    if spec.match:
+        rows, targets = _costs(spec, d)
+        add(transport.match_gradient(rows, targets, rounds=20, weights=spec.r), spec.gamma)
+    if spec.levels is not None:
+        whole = _whole(spec, cur)
+        size = whole.groupBy("level", "group_id").agg(F.count("*").alias("_n"))
+        g = asg.hierarchy_gradient(whole, spec.level_edges, spec.levels, k).join(size, ["level", "group_id"]).select("level", "group_id", F.col("fold").alias("_f"), (F.col("gradient") / F.col("_n")).alias("gradient"))
+        add(whole.join(g, ["level", "group_id"]).select("obs_id", F.col("_f").alias("fold"), "gradient"), spec.alpha / scale["levels"])
+    if spec.stratify == "sliced":
+        add(stratify.sliced_gradient(d), spec.mu / scale["strata"])
+    elif spec.stratify == "moment":
+        add(stratify.moment_gradient(d, (1.0, 1.0, 1.0, 1.0)).join(cur, "obs_id"), spec.mu / scale["strata"])
     elif spec.stratify:
         add(stratify.quantile_gradient(stratify.quantile_bins(d, 10), spec.r), spec.mu / scale["strata"])
     if spec.noise:
@@ -198,12 +271,16 @@ def _mended(spec: SplitSpec, cur: DataFrame) -> list[DataFrame]:
 
 def normalisers(spec: SplitSpec) -> dict[str, float]:
     """Scales of the terms, from the inputs alone: mass, cut of random assignments, kernel and strata scales."""
-    out = {"W": spec.obs.agg(F.sum("w")).first()[0] or 1.0, "cut": 1.0, "kernel": 1.0, "strata": 1.0}
+    out = {"W": spec.obs.agg(F.sum("w")).first()[0] or 1.0, "cut": 1.0, "kernel": 1.0, "strata": 1.0, "levels": 1.0}
     if spec.edges is not None:
         out["cut"] = stage0_cut(spec.obs, spec.edges, 20, max(spec.r), spec.seed).first().mean_cut or 1.0
     if spec.kernel is not None:
         out["kernel"] = transport.mmd_scales(spec.kernel).first().worst or 1.0
-    if spec.stratify == "moment":
+    if spec.levels is not None:
+        out["levels"] = spec.level_edges.join(F.broadcast(spec.levels), "level").agg(F.sum(F.col("lam") * F.col("s"))).first()[0] or 1.0
+    if spec.stratify == "sliced":
+        out["strata"] = stratify.sliced_scale(spec.obs, len(spec.r)).first().scale or 1.0
+    elif spec.stratify == "moment":
         out["strata"] = stratify.moment_scale(spec.obs).first().scale or 1.0
     elif spec.stratify:
         out["strata"] = stratify.quantile_scale(stratify.quantile_bins(spec.obs, 10), spec.r).first().scale or 1.0
@@ -212,7 +289,7 @@ def normalisers(spec: SplitSpec) -> dict[str, float]:
 
 def split(spec: SplitSpec, scale: dict[str, float] | None = None) -> SplitResult:
     """The best assignment met. Rounds end after ``patience`` without a better objective, when less than ``least_moved`` of
-    the rows change fold, or nothing does. With ``cold="both"`` rows whose two entities lie apart are left out of it."""
+    the rows change fold or nothing does, or when the objective changes by less than ``least_gain`` of itself. With ``cold="both"`` rows whose two entities lie apart are left out of it."""
     spec.check()
     scale = scale or normalisers(spec)
     if spec.unit:
@@ -223,15 +300,17 @@ def split(spec: SplitSpec, scale: dict[str, float] | None = None) -> SplitResult
     cur = cut_lineage(cur)
     n = cur.count()
     best, best_value, best_gap, stale, history, stopped = cur, float("inf"), 0.0, 0, [], ""
+    moved = 0
     i = 0
     while not stopped:
         t = _terms(spec, cur, scale)
-        history.append({"iteration": i} | t)
+        flat = bool(history) and abs(history[-1]["composite"] - t["composite"]) < spec.least_gain * abs(t["composite"])
+        history.append({"iteration": i, "moved": moved / max(n, 1)} | t)
         stale += 1
         if t["composite"] < best_value - 1e-12:
             best, best_value, best_gap, stale = cur, t["composite"], t["imbalance"], 0
-        if stale >= spec.patience or i == spec.max_iter:
-            stopped = "rounds" if i == spec.max_iter else "patience"
+        if flat or stale >= spec.patience or i == spec.max_iter:
+            stopped = "flat" if flat else "rounds" if i == spec.max_iter else "patience"
             break
         new = cut_lineage(_assign(spec, _gradients(spec, cur, scale)))
         moved = new.join(cur.withColumnRenamed("fold", "_f"), "obs_id").where("fold <> _f").count()
@@ -240,7 +319,7 @@ def split(spec: SplitSpec, scale: dict[str, float] | None = None) -> SplitResult
         cur, i = new, i + 1
         if stopped and moved:
             t = _terms(spec, cur, scale)
-            history.append({"iteration": i} | t)
+            history.append({"iteration": i, "moved": moved / n} | t)
             if t["composite"] < best_value - 1e-12:
                 best, best_value, best_gap = cur, t["composite"], t["imbalance"]
     for mended in _mended(spec, best) if spec.repair else []:

@@ -10,7 +10,7 @@ from partita.functions import prefix
 from partita.functions.prefix import running_sums
 from partita.operators import assign, baselines, coarsen, folds, graph, prep, similarity, stratify, transport
 from partita.plans import catalogue, fixtures
-from partita.plans.engine import SplitSpec, multi_split, split, sweep
+from partita.plans.engine import SplitSpec, level_tables, multi_split, split, sweep
 
 
 def cliques(spark):
@@ -295,3 +295,77 @@ def test_contradictions_of_the_new_modes_are_refused(spark):
     for kw in ({"shares": (0.5, 0.6)}, {"shares": (1.0,)}, {"cold": "right"}, {"cold": "both", "other": "e"}, {"stratify": "no"}, {"supers": "gone"}):
         with pytest.raises(ValueError):
             split(SplitSpec(obs, **({"stratify": True} | kw)))
+
+
+def _moments_of(y, w):
+    m = np.average(y, weights=w)
+    return np.array([m] + [np.average((y - m) ** p, weights=w) for p in (2, 3, 4)])
+
+
+def test_moment_gradient_is_the_derivative_by_a_rows_mass(spark):
+    rng = np.random.default_rng(1)
+    y, w, f = rng.normal(size=20), rng.uniform(1, 2, 20), np.arange(20) % 2
+    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, (a, b, c) in enumerate(zip(y, w, f))], "obs_id long, y double, w double, fold int")
+    got = {r.obs_id: r.gradient for r in stratify.moment_gradient(df, (1.0, 0.5, 0.2, 0.1)).collect()}
+    omega, every = np.array([1.0, 0.5, 0.2, 0.1]), _moments_of(y, w)
+
+    def value(i, step):
+        v = w.copy()
+        v[i] += step
+        return (omega * (_moments_of(y[f == f[i]], v[f == f[i]]) - every) ** 2).sum()
+
+    for i in range(20):
+        assert got[i] == pytest.approx(w[i] * (value(i, 1e-6) - value(i, -1e-6)) / 2e-6, rel=1e-4, abs=1e-7)
+
+
+def test_sliced_gradient_is_squared_distance_to_the_value_at_the_level(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, 1.0 + i % 2, rng.normal(size=1).tolist(), i % 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "obs_id long, w double, x array<double>, fold int")
+    got = {(r.obs_id, r.fold): r.gradient for r in stratify.sliced_gradient(df, 1, 8).collect()}
+    x, f, w = np.array([r[2][0] for r in rows]), np.array([r[3] for r in rows]), np.array([r[1] for r in rows])
+    levels = (np.arange(8) + 0.5) / 8
+    ways = []
+    for sign in (1, -1):  # one direction in one dimension is +1 or -1
+        want = {}
+        for k in (0, 1):
+            q, qa = np.quantile(sign * x[f == k], levels), np.quantile(sign * x, levels)
+            for i in range(30):
+                at = min(max(int((q <= sign * x[i]).sum()), 1), 8) - 1
+                want[i, k] = w[i] / w[f == k].sum() * (sign * x[i] - qa[at]) ** 2
+        ways.append(want)
+    assert any(all(got[key] == pytest.approx(v, abs=1e-9) for key, v in want.items()) for want in ways)
+
+
+def test_match_pulls_folds_to_their_targets(spark):
+    obs = spark.createDataFrame([(i, 1.0, float(i % 10)) for i in range(200)], "obs_id long, w double, y double")
+    spec = SplitSpec(obs, share=0.5, match=(0.0, 9.0), targets=((0.9, 0.1), (0.1, 0.9)), max_iter=4)
+    res = split(spec)
+    assert min(h["D"] for h in res.history) < 0.9 * res.history[0]["D"]
+    d = res.assignment.join(obs, "obs_id")
+    m = {r.fold: r.m for r in d.groupBy("fold").agg({"y": "avg"}).withColumnRenamed("avg(y)", "m").collect()}
+    assert m[0] < m[1]
+    assert transport.match_cost(transport.bin_costs(d, (0.0, 9.0)), spec.targets).count() == 2
+
+
+def test_level_tables_and_the_term_of_levels(spark):
+    obs = spark.createDataFrame([(i, 1.0, None if i == 9 else f"g{i % 3}", [1.0, float(i % 3 == 2)]) for i in range(12)], "obs_id long, w double, grp string, x array<double>")
+    levels, members, edges = level_tables(obs, {"grp": 2.0}, 0.95)
+    assert members.count() == 11 and "g0" in {r.group_id for r in members.collect()}
+    assert {(r.g, r.h) for r in edges.collect()} == {("g0", "g0"), ("g1", "g1"), ("g2", "g2"), ("g0", "g1")}
+    res = split(SplitSpec(obs.select("obs_id", "w", "grp"), share=0.5, levels=levels, members=members, level_edges=edges, max_iter=3))
+    assert all(0 <= h["H"] <= 1 for h in res.history)
+    assert min(h["H"] for h in res.history) <= res.history[0]["H"]
+
+
+@pytest.mark.parametrize("bad", [{"match": (1.0,)}, {"match": (0.0, 1.0), "targets": ((1.0, 0.0),)}, {"stratify": "slices"}, {"stratify": "sliced"}, {"targets": ((1.0,), (1.0,)), "stratify": True}])
+def test_contradictory_terms_are_refused(spark, bad):
+    obs = spark.createDataFrame([(1, 1.0, 2.0)], "obs_id long, w double, y double")
+    with pytest.raises(ValueError):
+        split(SplitSpec(obs, **bad))
+
+
+def test_rounds_end_when_little_is_gained(spark):
+    obs = spark.createDataFrame([(i, 1.0, float(i * 7 % 50)) for i in range(100)], "obs_id long, w double, y double")
+    res = split(SplitSpec(obs, stratify=True, mu=1.0, least_gain=1e9, patience=9))
+    assert res.stopped in ("flat", "still") and all("moved" in h for h in res.history)
