@@ -78,8 +78,14 @@ def drop_cache() -> None:
     if _cache:
         _cache.clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc can hand freed memory back on demand
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Hand freed memory back, so that idle workers don't hold what their last batches took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc can do so on demand
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | None], schema: str, keeps_cache: bool = False) -> DataFrame:
@@ -98,6 +104,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | Non
             if b.num_rows:
                 out = fn(b)
                 yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in arrow], schema=arrow)
+        trim()
 
     return df.mapInArrow(run, schema)
 
