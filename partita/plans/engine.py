@@ -275,7 +275,8 @@ def normalisers(spec: SplitSpec) -> dict[str, float]:
     if spec.edges is not None:
         out["cut"] = stage0_cut(spec.obs, spec.edges, 20, max(spec.r), spec.seed).first().mean_cut or 1.0
     if spec.kernel is not None:
-        out["kernel"] = transport.mmd_scales(spec.kernel).first().worst or 1.0
+        scales = transport.mmd_scales(spec.kernel).first()  # edges without a diagonal have no worst; constant ones neither
+        out["kernel"] = next((x for x in (scales.worst, scales.average) if x and x > 0), 1.0)
     if spec.levels is not None:
         out["levels"] = spec.level_edges.join(F.broadcast(spec.levels), "level").agg(F.sum(F.col("lam") * F.col("s"))).first()[0] or 1.0
     if spec.stratify == "sliced":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, similarity as sim
+from ..operators import folds, graph, similarity as sim
 
 from .fixtures import VECTORS, table, vectors
 from .q_folds import _round
@@ -87,6 +87,7 @@ QUERIES = {
     "nn_distance_stats": lambda s, d: _round(graph.nearest_distance_stats(vectors(s, d)), "mean", "p95", "max"),
     "tpl": lambda s, d: _round(graph.proximity_leakage(vectors(s, d)), "tpl"),
     "knn_predict": lambda s, d: graph.knn_predict(_knn(s, d), vectors(s, d).select("obs_id", "cls")),
+    "predicted_information": lambda s, d: _round(folds.mutual_information(graph.knn_predict(_knn(s, d), vectors(s, d).select("obs_id", "cls")).join(vectors(s, d).select("obs_id", "fold"), "obs_id"), "predicted"), "mi"),
     "edge_union_half_sum": lambda s, d: _round(sim.symmetrise(_knn(s, d, 5).select("src", "dst", (1 / (1 + F.col("val"))).alias("val")), "sum"), "val"),
 }
 
@@ -128,5 +129,6 @@ ORACLE = {
     "nn_distance_stats": f"WITH {VECTORS}, m AS (SELECT min(list_distance(a.x, b.x)) AS v FROM vecs a JOIN vecs b ON a.fold = 1 AND b.fold = 0 GROUP BY a.obs_id) SELECT round(avg(v), 6) AS mean, round(quantile_cont(v, 0.95), 6) AS p95, round(max(v), 6) AS max FROM m",
     "tpl": f"WITH {VECTORS}, p AS (SELECT a.obs_id, a.fold, {_SQ} AS v, row_number() OVER (PARTITION BY a.obs_id ORDER BY {_SQ}, b.obs_id) AS k FROM vecs a JOIN vecs b ON b.fold = 0 AND a.obs_id <> b.obs_id), h AS (SELECT quantile_cont(sqrt(v), 0.5) AS h FROM p WHERE k = 1), f AS (SELECT obs_id, any_value(fold) AS fold, round(avg(exp(-v / (2 * h * h))), 12) AS y FROM p, h WHERE k <= 64 GROUP BY 1) SELECT round(2 * avg(CASE WHEN a.y > b.y THEN 1.0 WHEN a.y = b.y THEN 0.5 ELSE 0 END) - 1, 6)::DOUBLE AS tpl FROM f a, f b WHERE a.fold = 0 AND b.fold = 1",
     "knn_predict": f"WITH {_KNN}, v AS (SELECT src, cls, count(*) AS n FROM nn JOIN vecs ON obs_id = dst GROUP BY 1, 2) SELECT src AS obs_id, cls AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, cls) AS k FROM v) WHERE k = 1",
+    "predicted_information": f"WITH {_KNN}, v AS (SELECT src, cls, count(*) AS n FROM nn JOIN vecs ON obs_id = dst GROUP BY 1, 2), pr AS (SELECT src, cls AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, cls) AS k FROM v) WHERE k = 1), j AS (SELECT fold, predicted, count(*)::DOUBLE AS n FROM pr JOIN vecs ON obs_id = src GROUP BY 1, 2), m AS (SELECT n, sum(n) OVER (PARTITION BY fold) AS a, sum(n) OVER (PARTITION BY predicted) AS b, sum(n) OVER () AS t FROM j) SELECT round(greatest(sum(n / t * ln(n * t / (a * b))), 0), 6) AS mi FROM m",
     "edge_union_half_sum": f"WITH {_KNN} SELECT src, dst, round(sum(val) / 2, 6) AS val FROM (SELECT src, dst, 1 / (1 + val) AS val FROM nn WHERE rank <= 5 UNION ALL SELECT dst, src, 1 / (1 + val) FROM nn WHERE rank <= 5) GROUP BY 1, 2",
 }

@@ -369,3 +369,30 @@ def test_rounds_end_when_little_is_gained(spark):
     obs = spark.createDataFrame([(i, 1.0, float(i * 7 % 50)) for i in range(100)], "obs_id long, w double, y double")
     res = split(SplitSpec(obs, stratify=True, mu=1.0, least_gain=1e9, patience=9))
     assert res.stopped in ("flat", "still") and all("moved" in h for h in res.history)
+
+
+def test_tables_wide_exports_and_metadata_come_back_from_files(spark, tmp_path):
+    import json
+
+    from partita.sources import writers
+
+    a = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("b", 1, 1), ("b", 2, 1)], "config_id string, obs_id long, fold int")
+    writers.write_wide(a, ["a", "b"], str(tmp_path / "wide"))
+    wide = spark.read.parquet(str(tmp_path / "wide"))
+    assert sorted(tuple(r) for r in wide.select("obs_id", "a", "b").collect()) == [(1, 0, 1), (2, 1, 1)]
+    for kind in ("csv", "json", "parquet"):
+        writers.write_table(a, str(tmp_path / kind), kind)
+        back = spark.read.option("header", True).csv(str(tmp_path / kind)) if kind == "csv" else spark.read.format(kind).load(str(tmp_path / kind))
+        assert sorted((r.config_id, int(r.obs_id), int(r.fold)) for r in back.collect()) == sorted(tuple(r) for r in a.collect())
+    writers.write_metadata(spark, {"seed": 4, "terms": ["M", "S"]}, str(tmp_path / "meta"))
+    assert json.loads(spark.read.text(str(tmp_path / "meta")).first().value) == {"seed": 4, "terms": ["M", "S"]}
+
+
+def test_a_kernel_without_a_worst_scale_falls_back(spark):
+    from partita.plans.engine import normalisers
+
+    obs = spark.createDataFrame([(1, 1.0), (2, 1.0)], "obs_id long, w double")
+    flat = spark.createDataFrame([(i, j, 1.0) for i in (1, 2) for j in (1, 2)], "src long, dst long, val double")
+    loose = flat.where("src <> dst")
+    assert normalisers(SplitSpec(obs, kernel=flat))["kernel"] == 1.0
+    assert normalisers(SplitSpec(obs, kernel=loose))["kernel"] == 1.0
