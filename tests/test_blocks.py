@@ -61,3 +61,27 @@ def test_empty_kernels_have_no_terms(spark):
     k = Kernel(df.limit(0))
     assert transport.mmd_pairs(k, df.limit(0)).count() == transport.mmd_gradient(k, df.limit(0)).count() == 0
     assert tuple(transport.mmd_scales(k).first()) == (None, None)
+
+
+def test_packed_edges_give_what_listed_ones_give(spark, monkeypatch, narrow):
+    from partita.operators import assign, graph, select
+
+    monkeypatch.setattr(similarity, "PACKED", 9)
+    _, df = _rows(spark)
+    listed, packed = similarity.edges_within(df, "cosine", 0.3).cache(), similarity.packed_edges(df, "cosine", 0.3)
+    pairs = {(e.src, e.dst): e.val for e in listed.collect()}
+    got = packed.listed().collect()
+    assert len(got) == len(pairs) > 300 and {(e.src, e.dst): e.val for e in got} == pytest.approx(pairs)
+    some = df.where("obs_id % 7 <> 0")  # edges of rows without a fold drop out
+    for a in (df, some):
+        for f in (graph.cut_energy, graph.leakage):
+            assert tuple(f(packed, a).first()) == pytest.approx(tuple(f(listed, a).first()))
+    three = some.withColumn("fold", (F.col("obs_id") % 3).cast("int"))
+    x, y = ({(r.obs_id, r.fold): r.gradient for r in graph.cut_gradient(e, three, 3).collect()} for e in (packed, listed))
+    assert x == pytest.approx(y)
+    assert tuple(select.stage0_cut(df, packed, 20).first()) == pytest.approx(tuple(select.stage0_cut(df, listed, 20).first()))
+    x, y = ({r.obs_id: r.fold for r in assign.swap_for_leakage(some, e, (0.3, 0.7)).collect()} for e in (packed, listed))
+    assert x == y
+    none = similarity.packed_edges(df, "cosine", 2.0)
+    assert none.listed().count() == 0 and graph.cut_energy(none, df).first().energy == 0.0
+    assert similarity.packed_edges(df.limit(0), "cosine", 0.3).listed().count() == 0
