@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from partita.functions.prefix import group_percentiles
 from partita.operators import assign, coarsen, folds, prep, select, similarity, stratify, transport
+from partita.plans import engine, q_wider
 from partita.plans.engine import SplitSpec, ablation, sweep_inputs
 from partita.sources import readers, writers
 
@@ -127,6 +128,21 @@ def test_grids_have_a_row_for_each_choice(spark):
     assert {x.config_id: x.imbalance for x in swept.collect()} == {"as is": 0.0, "half": 0.0}
 
 
+def test_split_inputs_goes_on_until_it_settles(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6, 8))[rng.integers(0, 6, 240)] + rng.normal(size=(240, 8))
+    rows = [(i, [float(v) for v in x[i]], "a") for i in range(240)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    done, split = [], engine.split
+    monkeypatch.setattr(engine, "split", lambda *a: done.append(split(*a)) or done[-1])
+    got = q_wider.QUERIES["split_inputs"](spark, str(tmp_path)).collect()
+    assert sorted(x.config_id for x in got) == ["cosine_0.3", "cosine_0.4", "supers_40"] and len(done) == 3
+    for res in done:
+        values = [h["composite"] for h in res.history]
+        assert res.stopped == "still" or res.stopped == "patience" and min(values[-3:]) >= min(values[:-3])  # no bound on rounds ended it
+        assert res.assignment.count() == 240
+
+
 def _random_sets(spark, seed, n):
     rng = np.random.default_rng(seed)
     sets = {}
